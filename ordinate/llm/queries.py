@@ -9,6 +9,7 @@ MODULES = {
     "line_dedup": "op1_line_dedup",
     "decontam": "op5_decontamination",
     "sharding": "op9_sharding",
+    "bpe": "op8_bpe",
     "topk": "op10_exact_topk",
 }
 
