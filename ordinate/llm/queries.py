@@ -9,6 +9,7 @@ MODULES = {
     "line_dedup": "op1_line_dedup",
     "decontam": "op5_decontamination",
     "sharding": "op9_sharding",
+    "toxicity": "op6_toxicity",
     "bpe": "op8_bpe",
     "topk": "op10_exact_topk",
 }
