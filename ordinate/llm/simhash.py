@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     marked = C.stored(fingerprints(docs.select("doc_id", "text")))
     nodes = marked.groupBy("fp").agg(F.min(C.id_key(F.col("doc_id"))).alias("first"))
-    root = components(nodes, links(nodes.select("fp"), distance))
+    root = components(nodes, C.stored(links(nodes.select("fp"), distance)))
     named = nodes.join(root, nodes["fp"] == root["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("first").alias("first"))
     # what links changed is a part of the distinct fingerprints; rows of one fingerprint, however many, meet one row here
