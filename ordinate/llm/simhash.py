@@ -59,9 +59,10 @@ def embed(fp: np.ndarray) -> np.ndarray:
 
 
 def groups_for(n: int, distance: int = DISTANCE) -> int:
-    """m, so that n random fingerprints make few pairs each: a group of g two-bit segments is equal with chance 0.375^g."""
-    best, best_cost = distance + 1, float("inf")
-    for m in range(distance + 1, min(SEGMENTS, distance + 6) + 1):
+    """m, so that n random fingerprints make few pairs each: a group of g two-bit segments is equal with chance 0.375^g.
+    At least two groups make a cell: one alone leaves cells that all fingerprints share."""
+    best, best_cost = distance + 2, float("inf")
+    for m in range(distance + 2, min(SEGMENTS, distance + 6) + 1):
         cells = len(list(combinations(range(m), m - distance)))
         pairs = n / 2 * 0.375 ** (SEGMENTS * (m - distance) / m)
         cost = cells * (1 + pairs / 50)
