@@ -7,6 +7,7 @@ from importlib import import_module
 #: module -> query; a module's SQL, where it has one, is its oracle.
 MODULES = {
     "line_dedup": "op1_line_dedup",
+    "suffix_dedup": "op2_suffix_dedup",
     "simhash": "op3_simhash",
     "decontam": "op5_decontamination",
     "sharding": "op9_sharding",
