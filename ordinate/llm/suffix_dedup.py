@@ -27,9 +27,9 @@ _LOW = np.uint64((1 << 30) - 1)
 _MANY = 0xFFFFFFFF
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
+def _zip(*arrays: np.ndarray, level: int = 3) -> bytes:
     head = np.array([len(x.tobytes()) for x in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(x.tobytes() for x in arrays)]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(x.tobytes() for x in arrays)]))
 
 
 def _unzip(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -98,7 +98,7 @@ def _gather(batches):
     for batch in batches:
         if batch.num_rows:
             data, offsets = C.joined_texts(batch.column("text"))
-            row = _zip(data, offsets, np.asarray(batch.column("k0")), np.asarray(batch.column("k1")))
+            row = _zip(data, offsets, np.asarray(batch.column("k0")), np.asarray(batch.column("k1")), level=6)
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), pa.array([row], pa.binary())], names=["batch", "texts"])
             seq += 1
 
@@ -153,16 +153,16 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return known
 
 
-def _runs(parts: int):
-    def run(t: pa.Table) -> pa.Table:
-        number = t["batch"][0].as_py()
-        rows = list(zip(t["kind"].to_pylist(), t["data"].to_pylist()))
-        data, offsets, k0, k1 = _texts(next(x for k, x in rows if k == 0))
+class Suffixes:
+    """The distinct suffixes of a batch in sorted order by part, and the places of each. Both the runs that are sent and
+    the places their answers come back to are made from the stored texts by this, so only the texts need a checkpoint."""
+
+    def __init__(self, texts: tuple[np.ndarray, ...], answers: list[bytes], parts: int):
+        data, offsets, k0, k1 = texts
         first, last, p, h = anchors(data, offsets)
         wanted = np.zeros(len(data) + 1, bool)
-        for k, x in rows:
-            if k == 1:
-                wanted[np.frombuffer(x, np.uint32)] = True
+        for x in answers:
+            wanted[np.frombuffer(x, np.uint32)] = True
         # what the batch itself holds twice was never in doubt
         order = np.argsort(h, kind="stable")
         hs, ps = h[order], p[order]
@@ -178,28 +178,26 @@ def _runs(parts: int):
         found: dict[tuple[int, bytes, int], list[int]] = {}
         where = (h[pick] % np.uint64(parts)).astype(int).tolist()
         for i, (a, z, q, part) in enumerate(zip(first[pick].tolist(), last[pick].tolist(), p[pick].tolist(), where)):
-            left = text[a:q]
-            found.setdefault((part, text[q : z + LENGTH] + left[::-1], z + LENGTH - q), []).append(i)
-        keys = sorted(found)
+            found.setdefault((part, text[q : z + LENGTH] + text[a:q][::-1], z + LENGTH - q), []).append(i)
+        self.keys = sorted(found)
         # the first place of each distinct suffix: by id, then text hash, then offset
-        ids, hashes, inside, place = k0[doc], k1[doc], p[pick] - offsets[doc], p[pick]
-        rank = np.empty(len(pick), np.int64)
-        order = np.lexsort((inside, hashes, ids))
-        if len(order):
-            a, b, c = ids[order], hashes[order], inside[order]
-            rank[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+        self.ids, self.hashes, self.inside, self.place = k0[doc], k1[doc], p[pick] - offsets[doc], p[pick]
+        rank = _ranks(self.ids, self.hashes, self.inside)
         counts, members, lead, firsts = [], [], [], []
-        for key in keys:
+        for key in self.keys:
             own = found[key]
             low = min(own, key=rank.__getitem__)
             counts.append(len(own))
             members += own
             lead += [rank[i] == rank[low] for i in own]
             firsts.append(low)
-        members = np.array(members, np.int64)
-        sizes = np.array([(len(s), r) for _, s, r in keys], np.uint8).reshape(-1, 2)
-        out = [(-1, number, _zip(np.array(counts, np.int32), place[members].astype(np.uint32), np.array(lead, bool), sizes))]
-        lo = 0
+        self.counts, self.firsts, self.lead = np.array(counts, np.int64), np.array(firsts, np.int64), np.array(lead, bool)
+        self.place = self.place[np.array(members, np.int64)]
+        self.sizes = np.array([(len(s), r) for _, s, r in self.keys], np.uint8).reshape(-1, 2)
+
+    def runs(self):
+        """(part, front-coded run)"""
+        lo, keys = 0, self.keys
         while lo < len(keys):
             hi, part = lo, keys[lo][0]
             shared, tails, prev = [], [], b""
@@ -210,10 +208,28 @@ def _runs(parts: int):
                 tails.append(s[n:])
                 prev = s
                 hi += 1
-            f = np.array(firsts[lo:hi])
-            out.append((part, number, _zip(np.array(shared, np.uint8), sizes[lo:hi], np.frombuffer(b"".join(tails), np.uint8), ids[f], hashes[f], inside[f])))
+            f = self.firsts[lo:hi]
+            yield part, _zip(np.array(shared, np.uint8), self.sizes[lo:hi], np.frombuffer(b"".join(tails), np.uint8), self.ids[f], self.hashes[f], self.inside[f])
             lo = hi
-        return pa.table([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["part", "batch", "data"])
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The order of triples; equal ones have one rank."""
+    order = np.lexsort((c, b, a))
+    out = np.empty(len(order), np.int64)
+    if len(order):
+        a, b, c = a[order], b[order], c[order]
+        out[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    return out
+
+
+def _runs(parts: int):
+    def run(t: pa.Table) -> pa.Table:
+        number = t["batch"][0].as_py()
+        rows = list(zip(t["kind"].to_pylist(), t["data"].to_pylist()))
+        found = Suffixes(_texts(next(x for k, x in rows if k == 0)), [x for k, x in rows if k == 1], parts)
+        out = [(part, number, blob) for part, blob in found.runs()]
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*out) if out else ((),) * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["part", "batch", "data"])
 
     return run
 
@@ -344,11 +360,7 @@ def _merge(t: pa.Table) -> pa.Table:
         index.append(base[r] + i)
         shared.append(h)
     index = np.array(index, np.int64)
-    k0, k1, inside = np.concatenate(places, axis=1)
-    order = np.lexsort((inside, k1, k0))
-    a, b, c = k0[order], k1[order], inside[order]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    rank = _ranks(*np.concatenate(places, axis=1))
     sizes = np.concatenate(all_sizes)
     strings = [s for r in runs for s in r[0]]
     lefts = [strings[i][sizes[i, 1] :] for i in index.tolist()]
@@ -359,24 +371,34 @@ def _merge(t: pa.Table) -> pa.Table:
     return pa.table({"batch": t["batch"], "part": t["part"], "kind": pa.array([2] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary())})
 
 
-def _cut(t: pa.Table) -> pa.Table:
+def _cut(parts: int):
     """Of one batch: mark the strings that start earlier elsewhere, and cut out the bytes they cover."""
-    rows = t.sort_by("part").to_pylist()
-    data, offsets, k0, k1 = _texts(next(r["data"] for r in rows if r["kind"] == 0))
-    marked = np.zeros(len(data) + 1, bool)
-    counts, place, lead, sizes = _unzip(next(r["data"] for r in rows if r["kind"] == 1), np.int32, np.uint32, bool, np.uint8)
-    answers = [np.frombuffer(r["data"], np.uint8) for r in rows if r["kind"] == 2]
-    if answers:
-        bits = np.unpackbits(np.concatenate(answers).reshape(-1, (LENGTH + 7) // 8), axis=1, bitorder="little")[:, :LENGTH].astype(bool)
-        sizes = sizes.reshape(-1, 2).astype(np.int64)
-        one = np.repeat(np.arange(len(counts)), counts)
-        o = np.arange(LENGTH)
-        for lo in range(0, len(one), 1 << 17):
-            d, q, f = one[lo : lo + (1 << 17)], place[lo : lo + (1 << 17)].astype(np.int64), lead[lo : lo + (1 << 17)]
-            r, left = sizes[d, 1], sizes[d, 0] - sizes[d, 1]
-            hit = np.where(f[:, None], bits[d], (o >= LENGTH - r[:, None]) & (o <= left[:, None]))
-            i, j = np.nonzero(hit)
-            marked[q[i] - j] = True
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("part").to_pylist()
+        texts = _texts(next(r["data"] for r in rows if r["kind"] == 0))
+        marked = np.zeros(len(texts[0]) + 1, bool)
+        answers = [np.frombuffer(r["data"], np.uint8) for r in rows if r["kind"] == 2]
+        if answers:
+            found = Suffixes(texts, [r["data"] for r in rows if r["kind"] == 1], parts)
+            bits = np.unpackbits(np.concatenate(answers).reshape(-1, (LENGTH + 7) // 8), axis=1, bitorder="little")[:, :LENGTH].astype(bool)
+            sizes = found.sizes.astype(np.int64)
+            one = np.repeat(np.arange(len(found.counts)), found.counts)
+            o = np.arange(LENGTH)
+            for lo in range(0, len(one), 1 << 17):
+                d, q, f = one[lo : lo + (1 << 17)], found.place[lo : lo + (1 << 17)], found.lead[lo : lo + (1 << 17)]
+                r, left = sizes[d, 1], sizes[d, 0] - sizes[d, 1]
+                hit = np.where(f[:, None], bits[d], (o >= LENGTH - r[:, None]) & (o <= left[:, None]))
+                i, j = np.nonzero(hit)
+                marked[q[i] - j] = True
+        return _kept(texts, marked)
+
+    return run
+
+
+def _kept(texts: tuple[np.ndarray, ...], marked: np.ndarray) -> pa.Table:
+    """The documents without the bytes covered by strings that start where `marked`."""
+    data, offsets, k0, _ = texts
     total = np.cumsum(marked[:-1], dtype=np.int64)
     covered = total > 0
     covered[LENGTH:] = total[LENGTH:] > total[:-LENGTH]
@@ -416,13 +438,13 @@ def dedup_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     texts = C.stored(docs.select(C.id_key(F.col("doc_id")).alias("k0"), F.xxhash64("text").alias("k1"), "text").mapInArrow(_gather, "batch long, texts binary"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
     asked = C.arrow_map(texts, _ask(parts), "bucket int, batch long, hashes binary, places binary")
-    answers = asked.groupBy("bucket").applyInArrow(_repeated, "batch long, kind int, data binary").filter("length(data) > 0")
+    answers = C.stored(asked.groupBy("bucket").applyInArrow(_repeated, "batch long, kind int, data binary").filter("length(data) > 0"))
     own = texts.select("batch", F.lit(0).alias("kind"), F.col("texts").alias("data"))
-    sorted_runs = C.stored(answers.unionByName(own).groupBy("batch").applyInArrow(_runs(parts), "part int, batch long, data binary"))
-    hits = sorted_runs.filter("part >= 0").groupBy("part").applyInArrow(_merge, "batch long, part int, kind int, data binary")
-    places = sorted_runs.filter("part < 0").select("batch", "part", F.lit(1).alias("kind"), "data")
-    own = own.withColumn("part", F.lit(-2)).select("batch", "part", "kind", "data")
-    return hits.unionByName(places).unionByName(own).groupBy("batch").applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
+    held = answers.unionByName(own)
+    runs = held.groupBy("batch").applyInArrow(_runs(parts), "part int, batch long, data binary")
+    hits = runs.groupBy("part").applyInArrow(_merge, "batch long, part int, kind int, data binary")
+    back = hits.unionByName(held.withColumn("part", F.lit(-1)))
+    return back.groupBy("batch").applyInArrow(_cut(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
