@@ -9,6 +9,7 @@ MODULES = {
     "line_dedup": "op1_line_dedup",
     "suffix_dedup": "op2_suffix_dedup",
     "simhash": "op3_simhash",
+    "html": "op4_html",
     "decontam": "op5_decontamination",
     "sharding": "op9_sharding",
     "toxicity": "op6_toxicity",
