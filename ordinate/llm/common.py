@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,3 +85,12 @@ def packed(array: np.ndarray) -> bytes:
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """df with these columns set; a column of that name that came with the input gives way."""
     return df.withColumns(columns)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "line_dedup": "op1_line_dedup",
     "suffix_dedup": "op2_suffix_dedup",
+    "pii": "op7_pii",
     "simhash": "op3_simhash",
     "html": "op4_html",
     "decontam": "op5_decontamination",
