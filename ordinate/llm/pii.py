@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, FEATURES, ROUNDS, CERTAIN = 3000, 1 << 14, 8, 0.9
+SAMPLE, FEATURES, ROUNDS, CERTAIN = 3000, 1 << 14, 8, 0.5
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
