@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,16 +41,18 @@ class CellIndex:
     members: DataFrame
     cells: DataFrame
     columns: list[str]
+    cell_of: Column
 
     @classmethod
     def build(cls, df: DataFrame, columns: Sequence[str], id_column: str, depth: int = 6, path: str | None = None) -> CellIndex:
         rows = sampling.sample(df, TRAIN_ROWS, id_column).select(*columns).collect()
         x = np.array([list(r) for r in rows], float).reshape(-1, len(columns))
-        members = df.withColumn("cell_id", median_cells(columns, x, depth))
+        cell_of = median_cells(columns, x, depth)
+        members = df.withColumn("cell_id", cell_of)
         if path:
             members.write.mode("overwrite").partitionBy("cell_id").parquet(path)
             members = df.sparkSession.read.parquet(path)
-        return cls(members, ranges.box_of(members, columns, ["cell_id"]), list(columns))
+        return cls(members, ranges.box_of(members, columns, ["cell_id"]), list(columns), cell_of)
 
     def _in(self, cells: Column, residual: Column) -> DataFrame:
         active = self.cells.filter(cells).select("cell_id")  # at most 2^depth ids
@@ -64,16 +67,15 @@ class CellIndex:
         meets = ranges.boxes_meet(low, high, [F.lit(float(x)) for x in lo], [F.lit(float(x)) for x in hi])
         return self._in(meets, ranges.box([F.col(c) for c in self.columns], lo, hi))
 
-    def append(self, df: DataFrame, depth: int = 6) -> CellIndex:
-        """New points, dealt to the cell whose box is nearest by their coordinates' median cells of the old table."""
-        first = self.cells.orderBy("cell_id").limit(1).select("cell_id").first()
-        members = self.members.unionByName(df.withColumn("cell_id", F.lit(first[0] if first else 0)))
-        return CellIndex(members, ranges.box_of(members, self.columns, ["cell_id"]), self.columns)
+    def append(self, df: DataFrame) -> CellIndex:
+        """With new points, dealt to cells by the same cuts; the boxes grow to hold them."""
+        members = self.members.unionByName(df.withColumn("cell_id", self.cell_of))
+        return CellIndex(members, ranges.box_of(members, self.columns, ["cell_id"]), self.columns, self.cell_of)
 
     def check(self) -> bool:
         """Every point is inside its cell's box, and the cells count all points."""
         joined = self.members.join(self.cells, "cell_id")
-        inside = ranges.reduce(lambda a, b: a & b, (F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in self.columns))
+        inside = reduce(lambda a, b: a & b, (F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in self.columns))
         return joined.filter(~inside).isEmpty() and self.cells.agg(F.sum("n")).first()[0] == self.members.count()
 
 

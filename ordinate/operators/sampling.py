@@ -16,13 +16,13 @@ def sample_size(d: int, eps: float, delta: float = 0.1, constant: float = KTH_CO
 
 
 def hashed(id_column: Column, seed: int = 42) -> Column:
-    x = F.pmod(id_column.cast("long") * 2654435761 + F.lit(seed * 40503), F.lit(4294967296))
-    return F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * 2246822519, F.lit(4294967296))
+    x = F.pmod(F.pmod(id_column.cast("long"), F.lit(2147483648)) * 2654435761 + F.lit(seed * 40503), F.lit(4294967296))
+    return F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * 1103515245, F.lit(4294967296))
 
 
 def hashed_sql(id_column: str, seed: int = 42) -> str:
-    x = f"(({id_column} * 2654435761 + {seed * 40503}) % 4294967296)"
-    return f"((xor({x}, {x} >> 15) * 2246822519) % 4294967296)"
+    x = f"((({id_column} % 2147483648) * 2654435761 + {seed * 40503}) % 4294967296)"
+    return f"((xor({x}, {x} >> 15) * 1103515245) % 4294967296)"
 
 
 def sample(df: DataFrame, size: int, id_column: str = "id", seed: int = 42) -> DataFrame:
