@@ -82,8 +82,8 @@ _W4 = "[" + ", ".join(repr(x) for x in W4) + "]::DOUBLE[]"
 
 # Ranges ---------------------------------------------------------------------------------------------------------------
 
-_STRIPE = f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} BETWEEN -900.0003 AND -600.0003"
-_SLAB = (-900.0003, -600.0003)
+_STRIPE = f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} BETWEEN -500.0003 AND -300.0003"
+_SLAB = (-500.0003, -300.0003)
 
 
 @query(_STRIPE)
@@ -91,14 +91,14 @@ def stripe_filter(spark, d):
     return _part(spark, d).filter(ranges.stripe(_cols(), W2, *_SLAB)).select("id", _score(W2))
 
 
-@query(f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} <= -1000.0003")
+@query(f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} <= -500.0003")
 def halfspace_upper(spark, d):
-    return _part(spark, d).filter(ranges.halfspace_upper(_cols(), W2, -1000.0003)).select("id", _score(W2))
+    return _part(spark, d).filter(ranges.halfspace_upper(_cols(), W2, -500.0003)).select("id", _score(W2))
 
 
-@query(f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} >= -500.0003")
+@query(f"SELECT p_partkey AS id, round({_S2}, 6) AS score FROM part WHERE {_S2} >= -200.0003")
 def halfspace_lower(spark, d):
-    return _part(spark, d).filter(ranges.halfspace_lower(_cols(), W2, -500.0003)).select("id", _score(W2))
+    return _part(spark, d).filter(ranges.halfspace_lower(_cols(), W2, -200.0003)).select("id", _score(W2))
 
 
 @query(f"SELECT p_partkey AS id FROM part WHERE {_S2} BETWEEN -900.0003 AND -300.0003 AND {_SP} BETWEEN 900.0003 AND 1500.0003")
@@ -170,13 +170,13 @@ _BB = "(SELECT p_brand, min(p_size) AS a, max(p_size) AS b, min(p_retailprice) A
 
 
 @query(f"""SELECT p_brand, round(12.5 * a - 0.75 * e, 6) AS least, round(12.5 * b - 0.75 * c, 6) AS most,
-  CASE WHEN 12.5 * b - 0.75 * c < -1300.0003 OR 12.5 * a - 0.75 * e > -900.0003 THEN 0 WHEN 12.5 * a - 0.75 * e >= -1300.0003 AND 12.5 * b - 0.75 * c <= -900.0003 THEN 2 ELSE 1 END AS meets,
+  CASE WHEN 12.5 * b - 0.75 * c < -740.0003 OR 12.5 * a - 0.75 * e > -300.0003 THEN 0 WHEN 12.5 * a - 0.75 * e >= -740.0003 AND 12.5 * b - 0.75 * c <= -300.0003 THEN 2 ELSE 1 END AS meets,
   round(ln(greatest(b - a, 1e-10)) + ln(greatest(e - c, 1e-10)), 6) AS log_volume FROM {_BB}""")
 def box_slab_overlap(spark, d):
     b = ranges.box_of(_t(spark, d, "part"), PC, ["p_brand"])
     lo, hi = [F.col(f"lo_{c}") for c in PC], [F.col(f"hi_{c}") for c in PC]
     least, most = ranges.box_score_bounds(lo, hi, W2)
-    return b.select("p_brand", F.round(least, 6).alias("least"), F.round(most, 6).alias("most"), ranges.box_overlap(lo, hi, W2, -1300.0003, -900.0003).alias("meets"), F.round(ranges.log_volume(lo, hi), 6).alias("log_volume"))
+    return b.select("p_brand", F.round(least, 6).alias("least"), F.round(most, 6).alias("most"), ranges.box_overlap(lo, hi, W2, -740.0003, -300.0003).alias("meets"), F.round(ranges.log_volume(lo, hi), 6).alias("log_volume"))
 
 
 @query(f"SELECT x.p_brand AS a, y.p_brand AS b FROM {_BB} x JOIN {_BB} y ON x.p_brand < y.p_brand AND x.a <= y.b AND y.a <= x.b AND x.c <= y.e AND y.c <= x.e")
@@ -187,9 +187,9 @@ def box_overlap_join(spark, d):
     return x.join(y, (F.col("x_p_brand") < F.col("y_p_brand")) & meet).select(F.col("x_p_brand").alias("a"), F.col("y_p_brand").alias("b"))
 
 
-@query(f"SELECT p_partkey AS id, CAST(sign({_S2} + 800.0003) AS DOUBLE) AS side FROM part")
+@query(f"SELECT p_partkey AS id, CAST(sign({_S2} + 400.0003) AS DOUBLE) AS side FROM part")
 def split_side(spark, d):
-    return _part(spark, d).select("id", V.side(_cols(), W2, -800.0003).alias("side"))
+    return _part(spark, d).select("id", V.side(_cols(), W2, -400.0003).alias("side"))
 
 
 @query("SELECT count(*) FILTER (p_size <= 20) AS n_left, count(*) FILTER (p_size > 20) AS n_right, round(abs(count(*) FILTER (p_size <= 20) - count(*) FILTER (p_size > 20)) / count(*), 9) AS balance FROM part")
@@ -255,12 +255,12 @@ def kth_certified_ties(spark, d):
 
 
 @query(f"""WITH s AS (SELECT {_SP} AS s, row_number() OVER (ORDER BY {sampling.hashed_sql('p_partkey')}, p_partkey) AS h FROM part), m AS (SELECT s, row_number() OVER (ORDER BY s DESC) - 1 AS r FROM s WHERE h <= 100), n AS (SELECT count(*) AS n FROM part)
-SELECT round((SELECT s FROM m, n WHERE r = least(99, ceil((500.0 / n + 0.05) * 100))), 6) AS lo, round((SELECT s FROM m, n WHERE r = greatest(0, floor((500.0 / n - 0.05) * 100))), 6) AS hi""")
+SELECT round((SELECT s FROM m, n WHERE r = least(99, ceil(((n // 4)::DOUBLE / n + 0.05) * 100))), 6) AS lo, round((SELECT s FROM m, n WHERE r = greatest(0, floor(((n // 4)::DOUBLE / n - 0.05) * 100))), 6) AS hi""")
 def find_stripe(spark, d):
     p = _part(spark, d)
     s = sampling.sample(p, 100)
     n = p.count()
-    lo, hi = rank.find_stripe(s, V.dot(_cols(), WP), min(500, n), n, 0.05, one_sided=False)
+    lo, hi = rank.find_stripe(s, V.dot(_cols(), WP), n // 4, n, 0.05, one_sided=False)
     return spark.createDataFrame([(round(lo, 6), round(hi, 6))], "lo double, hi double")
 
 
@@ -581,16 +581,16 @@ def distance_name(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), V.metric_name(F.col("p_type"), F.col("p_name")).alias("metric"))
 
 
-@query(f"SELECT p_partkey AS id FROM part WHERE {_S2} <= -1200.0003 UNION SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
+@query(f"SELECT p_partkey AS id FROM part WHERE {_S2} <= -700.0003 UNION SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
 def candidate_union(spark, d):
     p = _part(spark, d)
-    return p.filter(ranges.halfspace_upper(_cols(), W2, -1200.0003)).select("id").union(p.filter(F.col("p_size").between(10, 20)).select("id")).distinct()
+    return p.filter(ranges.halfspace_upper(_cols(), W2, -700.0003)).select("id").union(p.filter(F.col("p_size").between(10, 20)).select("id")).distinct()
 
 
-@query(f"SELECT p_partkey AS id FROM part WHERE {_S2} <= -1000.0003 AND p_size BETWEEN 10 AND 30")
+@query(f"SELECT p_partkey AS id FROM part WHERE {_S2} <= -500.0003 AND p_size BETWEEN 10 AND 30")
 def candidate_intersection(spark, d):
     p = _part(spark, d)
-    return p.filter(ranges.halfspace_upper(_cols(), W2, -1000.0003)).select("id").intersect(p.filter(F.col("p_size").between(10, 30)).select("id"))
+    return p.filter(ranges.halfspace_upper(_cols(), W2, -500.0003)).select("id").intersect(p.filter(F.col("p_size").between(10, 30)).select("id"))
 
 
 @query("SELECT true AS same")
