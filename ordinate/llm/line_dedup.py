@@ -203,16 +203,16 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, shards:
     asked = C.stored(docs.select(keys["__k0"].alias("__k0"), keys["__k1"].alias("__k1"), "text").mapInArrow(_requests(shards, min_code_points), "shard int, batch long, keys binary, counts binary, first binary"))
     answered = asked.filter("shard >= 0").groupBy("shard").applyInArrow(_answer, "shard int, batch long, answer binary, lines binary, ids binary")
     own = asked.filter("shard < 0").selectExpr("shard", "batch", "keys AS answer", "counts AS lines", "first AS ids")
-    masks = answered.unionByName(own).groupBy("batch").applyInArrow(_masks, "k0 long, k1 long, mask binary").dropDuplicates(["k0", "k1"])
-    joined = docs.withColumns(keys).join(masks, (F.col("__k0") == F.col("k0")) & (F.col("__k1") == F.col("k1")), "left")
+    masks = answered.unionByName(own).groupBy("batch").applyInArrow(_masks, "k0 long, k1 long, mask binary").toDF("__m0", "__m1", "__mask").dropDuplicates(["__m0", "__m1"])
+    joined = docs.withColumns(keys).join(masks, (F.col("__k0") == F.col("__m0")) & (F.col("__k1") == F.col("__m1")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: F.substring(F.col("mask"), i + 1, F.lit(1)) == F.lit(b"\x00")), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) == F.lit(b"\x00")), "\n")
     return joined.withColumns({
         "n_lines": F.length(text).cast("long") - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
-        "n_dropped": F.coalesce(F.length(F.replace(F.hex("mask"), F.lit("00"), F.lit(""))) / 2, F.lit(0)).cast("long"),
-        "text": F.when(F.col("mask").isNull(), text).otherwise(kept),
-    }).drop("__k0", "__k1", "k0", "k1", "mask")
+        "n_dropped": F.coalesce(F.length(F.replace(F.hex("__mask"), F.lit("00"), F.lit(""))) / 2, F.lit(0)).cast("long"),
+        "text": F.when(F.col("__mask").isNull(), text).otherwise(kept),
+    }).drop("__k0", "__k1", "__m0", "__m1", "__mask")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
