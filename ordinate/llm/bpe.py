@@ -25,8 +25,8 @@ from ordinate.llm import common as C
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What keeps a text from being cut at single spaces and line feeds before the pattern is applied to the parts.
 UNEVEN = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\A[ \n]|\n[ \n]|[ \n]\n|[ \n]\Z")
-#: Entries of a worker's caches (about 0.2 KB each); longer texts are worked out each time.
-CACHE, LONGEST = 1_000_000, 48
+#: Entries of each of a worker's caches (up to 0.2 KB each); longer texts are worked out each time.
+CACHE, LONGEST = 300_000, 48
 
 
 def default_vocabulary() -> str:
@@ -174,7 +174,7 @@ class Encoder:
             else:
                 limit = rank[b] + 0.5
                 b = parts[b][0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > CACHE:
             self.apart.clear()
         self.apart[key] = ok
         return ok
@@ -207,7 +207,7 @@ class Encoder:
         """The ids of one piece, little-endian 32-bit."""
         data = text.encode("utf-8", "surrogatepass")
         sam = self.automaton
-        nxt, link, length = sam.next, sam.link, sam.length
+        nxt, link, length, ends, apart, size = sam.next, sam.link, sam.length, sam.ends, self.apart, len(self.tokens)
         last = [-1] * (len(data) + 1)
         back = [0] * (len(data) + 1)
         s = m = 0
@@ -217,12 +217,22 @@ class Encoder:
                 m = length[s]
             s = nxt[s].get(c, 0)
             m = m + 1 if s else 0
-            for n, t in sam.suffixes(s):
-                if n <= m:
-                    j = i - n
-                    if self.reachable(t) if j == 0 else last[j] >= 0 and self.compatible(last[j], t):
-                        last[i], back[i] = t, j
-                        break
+            for n, t in ends.get(s) or sam.suffixes(s):
+                if n > m:
+                    continue
+                j = i - n
+                before = last[j]
+                if j:
+                    if before < 0:
+                        continue
+                    fits = apart.get(before * size + t)
+                    if fits is None:
+                        fits = self.compatible(before, t)
+                else:
+                    fits = self.reachable(t)
+                if fits:
+                    last[i], back[i] = t, j
+                    break
         out, i = [], len(data)
         while i:
             out.append(last[i])
@@ -234,7 +244,7 @@ class Encoder:
         if ids is None:
             ids = self.piece(text)
             if len(text) <= LONGEST:
-                if len(self.pieces) >= CACHE // 2:
+                if len(self.pieces) >= CACHE:
                     self.pieces.clear()
                 self.pieces[text] = ids
         return ids
