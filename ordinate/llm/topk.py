@@ -86,7 +86,7 @@ def _floats(x: np.ndarray) -> np.ndarray:
 def _matrix(t: pa.Table, dim: int) -> np.ndarray:
     flat = t["v"].combine_chunks()
     flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return np.asarray(flat, np.int64).reshape(-1, dim)
+    return np.asarray(flat, np.int64).reshape(len(t), dim)
 
 
 def _trees(leaf: int):
