@@ -372,8 +372,8 @@ def train(pages: list[str], variants: int = 3, seed: int = 17) -> Trees:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Train on at most `sample` pages, in the order of a hash of url and html."""
-    rows = pages.select("html").filter("html IS NOT NULL").orderBy(F.xxhash64("html")).limit(sample).collect()
+    """Train on at most `sample` pages, those of the least row hashes."""
+    rows = C.sampled(pages.filter("html IS NOT NULL"), sample).select("html").collect()
     return train([r["html"] for r in rows])
 
 
