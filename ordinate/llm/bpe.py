@@ -26,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: What keeps a text from being cut at single spaces and line feeds before the pattern is applied to the parts.
 UNEVEN = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\A[ \n]|\n[ \n]|[ \n]\n|[ \n]\Z")
 #: Entries of each of a worker's caches (up to 0.2 KB each); longer texts are worked out each time.
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 500_000, 48
 
 
 def default_vocabulary() -> str:
@@ -145,7 +145,6 @@ class Encoder:
         self.whole: dict[int, bool] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.pieces: dict[str, bytes] = {}
         self.head = _Parts(self, "")
         self.tail = _Parts(self, " ")
 
@@ -212,11 +211,12 @@ class Encoder:
         back = [0] * (len(data) + 1)
         s = m = 0
         for i, c in enumerate(data, 1):
-            while s and c not in nxt[s]:
+            to = nxt[s].get(c)
+            while to is None and s:
                 s = link[s]
                 m = length[s]
-            s = nxt[s].get(c, 0)
-            m = m + 1 if s else 0
+                to = nxt[s].get(c)
+            s, m = (to, m + 1) if to else (0, 0)
             for n, t in ends.get(s) or sam.suffixes(s):
                 if n > m:
                     continue
@@ -240,17 +240,18 @@ class Encoder:
         return np.array(out[::-1], "<u4").tobytes()
 
     def known_piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
+        """Pieces share the caches of what stands between spaces: a piece alone is split into itself."""
+        cache, part = (self.tail, text[1:]) if text[0] == " " else (self.head, text)
+        ids = cache.get(part)
         if ids is None:
             ids = self.piece(text)
             if len(text) <= LONGEST:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[text] = ids
+                cache[part] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.known_piece, self.split(text)))
+        parts = self.split(text)
+        return self.piece(text) if len(parts) == 1 else b"".join(map(self.known_piece, parts))
 
     def encode(self, text: str) -> bytes:
         if self.cut and "<|" in text and self.cut.search(text):
@@ -264,8 +265,11 @@ class Encoder:
     def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
+        for x in (self.head, self.tail):
+            if len(x) > CACHE:
+                x.clear()
         if UNEVEN.search(text):
-            return self.plain(text)
+            return b"".join(map(self.known_piece, self.split(text)))
         # no piece reaches over a single line feed, or over the place before a single space and what follows it
         head, tail, newline = self.head, self.tail, self.known_piece("\n")
         out = []
@@ -275,9 +279,6 @@ class Encoder:
             first, *rest = line.split(" ")
             out.append(head[first])
             out += map(tail.__getitem__, rest)
-        for x in (head, tail):
-            if len(x) > CACHE:
-                x.clear()
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
