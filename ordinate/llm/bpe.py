@@ -26,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: What keeps a text from being cut at single spaces and line feeds before the pattern is applied to the parts.
 UNEVEN = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\A[ \n]|\n[ \n]|[ \n]\n|[ \n]\Z")
 #: Entries of each of a worker's caches (up to 0.2 KB each); longer texts are worked out each time.
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 400_000, 48
 
 
 def default_vocabulary() -> str:
