@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from functools import lru_cache
 
@@ -321,7 +320,6 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     ids and decoded. `vocabulary` is a path that every worker can read (by default that of the installed package).
     """
     C.small_batches(docs.sparkSession)
-    path = vocabulary or default_vocabulary()
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
     carried = docs.drop(*made)
     if "text" in carried.columns and not with_ids:
@@ -331,7 +329,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema if f.name in kept), *(f"{k} {v}" for k, v in made.items())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(path if os.path.exists(path) else default_vocabulary())
+        enc = encoder(vocabulary or default_vocabulary())  # where it runs
         n, a, b, ids, texts = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             code = enc.encode(text or "")
