@@ -1,7 +1,7 @@
 """Sharding by vector bin packing.
 
-Rows are summed into a bounded number of items: hash cells of equal-text groups, and, where one group is larger than an
-eighth of a shard, pieces of that group. Each item is a vector (bytes, tokens, rows) and goes, largest first, to the shard
+Rows are summed into a bounded number of items: hash cells of equal-text groups, and, where one group has more bytes or
+rows than an eighth of a shard, pieces of that group. Each item is a vector (bytes, tokens, rows) and goes, largest first, to the shard
 where its dot product with what the shard still has room for is highest. Only the items' sums reach the driver; rows get
 their shard from a table of at most cells + pieces entries and their slot from their rank inside their item.
 """
@@ -38,7 +38,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int =
     """docs with size, text_crc32, shard (0 .. shards-1) and slot (gapless from 0 within a shard).
 
     Law `bytes`: the sizes (UTF-8 bytes of the text, 0 for null, plus 8) of the shards are near equal. Rows of equal text
-    share a shard unless their group is over an eighth of a shard; then it is dealt in pieces by doc_id. Null text is a
+    share a shard unless their group is over an eighth of a shard in bytes or rows; then it is dealt in pieces by doc_id. Null text is a
     group of its own. Tokens are counted as white-space gaps plus one. Repeated rows each get a slot. Input columns with
     the names of the outputs are replaced; an empty table gives an empty result.
     """
@@ -52,10 +52,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, cells_per_shard: int =
     })
     sums = [F.sum("size").alias("b"), F.sum("__tokens").alias("t"), F.count("*").alias("n")]
     groups = base.groupBy("__group").agg(*sums)
-    total = groups.agg(F.sum("b")).first()[0] or 0
-    # at most shards * HOT_SHARE groups can be this large
-    hot = groups.filter(F.col("b") > total / (shards * HOT_SHARE)).select("__group", "b").collect()
-    pieces = [(r["__group"], max(2, int(np.ceil(r["b"] * shards * PIECE_SHARE / total)))) for r in sorted(hot)]
+    all_bytes, all_rows = (x or 1 for x in groups.agg(F.sum("b"), F.sum("n")).first())
+    # many rows of a short text are few bytes, but would be one task's work; at most 2 * shards * HOT_SHARE groups can be this large
+    share = F.greatest(F.col("b") / all_bytes, F.col("n") / all_rows).alias("share")
+    hot = groups.select("__group", share).filter(F.col("share") > 1 / (shards * HOT_SHARE)).collect()
+    pieces = [(r["__group"], max(2, int(np.ceil(r["share"] * shards * PIECE_SHARE)))) for r in sorted(hot)]
     cells = shards * cells_per_shard
     start = np.cumsum([cells, *(p for _, p in pieces)]).tolist()
     spark = docs.sparkSession
