@@ -19,7 +19,7 @@ from ordinate.llm import common as C
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, HIDDEN = 8, 4, 8
 #: Labelled texts that training may take, in the order of a hash of their id, and the words it may know.
-SAMPLE, KNOWN, DROPOUT = 4000, 20_000, 0.25
+SAMPLE, KNOWN = 4000, 20_000
 #: Bytes of a word's beginning that have an embedding, too (inflected forms share it).
 BEGINNINGS = (4, 6)
 LETTER = np.zeros(256, bool)
@@ -277,10 +277,9 @@ def _network(texts: list[bytes], toxic: np.ndarray, known: int = KNOWN, rounds:
             y = np.r_[np.ones(batch // 2), np.zeros(2 * (batch // 4))].astype(np.float32)
             a, m = at[:, pick], mask[:, pick]
             raw = _letters(words, a)
-            seen = np.where(rng.random((*a.shape, rows.shape[1])) < DROPOUT, 0, rows[a])  # no single word may carry it
             chars = raw @ model.p["C"]
-            logit = model.forward(seen, chars, m)
-            g = model.gradients(seen, raw, chars, m, ((model._sigmoid(logit) - y) / batch).astype(np.float32))
+            logit = model.forward(rows[a], chars, m)
+            g = model.gradients(rows[a], raw, chars, m, ((model._sigmoid(logit) - y) / batch).astype(np.float32))
             for k, v in model.p.items():
                 m1, m2 = moments[k]
                 m1 *= 0.9
@@ -316,10 +315,11 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most `sample` labelled texts, in the order of a hash of their id, none of them with crc32(doc_id) mod 5
-    = 0. Rows with a null id, label or text are left out; an id labelled twice is toxic if any of its rows says so."""
+    = 0. Rows with a null id, label or text are left out; an id labelled twice is toxic if any of its rows says so,
+    and an id with several texts is learnt from the least of them."""
     ids = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows are broadcast
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     return train([r["text"].encode() for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
