@@ -83,6 +83,48 @@ def _query(q: Sequence[float], metric: str) -> np.ndarray:
     return x / max(np.linalg.norm(x), V.EPS_NORM) if _metric(metric) == "cosine" else x
 
 
+def _best(rows: DataFrame, scores, k: int) -> DataFrame:
+    """(qid, id, score) of each batch's best k for each query; scores(batch) gives each query's scores in turn, infinite for what it doesn't read."""
+
+    def run(batches):
+        for b in batches:
+            ids = np.asarray(b.column(0), np.int64)
+            for qid, s in enumerate(scores(b) if b.num_rows else ()):
+                near = np.flatnonzero(np.isfinite(s))
+                if len(near) > k:
+                    near = near[s[near] <= np.partition(s[near], k - 1)[k - 1]]
+                near = near[np.lexsort((ids[near], s[near]))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid, np.int32)), pa.array(ids[near]), pa.array(s[near].astype(float))], names=["qid", "id", "score"])
+
+    return rows.mapInArrow(run, "qid int, id long, score double")
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): each query's best k of (qid, id, score)."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _exact(b: pa.RecordBatch, queries: np.ndarray, metric: str):
+    """Each query's distances to a batch of (id, vec); vectors and queries are prepared."""
+    x = _vectors(b.column(1))
+    return (1 - x @ q if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries)
+
+
+def _nearest_lists(centers: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
+    return np.argsort(((centers - q) ** 2).sum(axis=1), kind="stable")[: max(1, nprobe)]
+
+
+def flat_batch(points: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: str = "l2") -> DataFrame:
+    """(qid, id, score, rank): the exact best k of many queries, numbered from 0, in one scan."""
+    qs = np.array([_query(q, metric) for q in queries])
+    return _ranked(_best(_prepared(points, metric).select(F.col("id").cast("long"), "vec"), lambda b: _exact(b, qs, metric), k), k)
+
+
 @dataclass
 class IVF:
     """Inverted lists: the nprobe lists with the nearest centres are read; nprobe = nlist is exact."""
@@ -108,12 +150,24 @@ class IVF:
     def _lists(self, q: np.ndarray) -> DataFrame:
         if self.members is None:
             raise RuntimeError("build the index first")
-        near = np.argsort(((self.centers - q) ** 2).sum(axis=1), kind="stable")[: self.nprobe]
+        near = _nearest_lists(self.centers, q, self.nprobe)
         return self.members.filter(F.col("ball_id").isin(near.tolist()))
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
         return _top(self._lists(_query(q, self.metric)).select("id", distance(F.col("vec"), list(q), self.metric).alias("score")), k + extra)
 
+    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
+        if self.members is None:
+            raise RuntimeError("build the index first")
+        metric, qs = self.metric, np.array([_query(q, self.metric) for q in queries])
+        near = [_nearest_lists(self.centers, q, self.nprobe) for q in qs]
+
+        def scores(b):
+            ball = np.asarray(b.column(2))
+            return (np.where(np.isin(ball, own), s, np.inf) for s, own in zip(_exact(b, qs, metric), near))
+
+        return _ranked(_best(self.members.select("id", "vec", "ball_id"), scores, k), k)
+
 
 def _codebooks(x: np.ndarray, m: int, nbits: int) -> np.ndarray:
     """(m, codes, width)"""
@@ -142,13 +196,6 @@ def _coded(points: DataFrame, books: np.ndarray, centers: np.ndarray | None) ->
     return points.mapInArrow(run, "id long, ball_id int, code array<smallint>")
 
 
-def _lut_score(lut: np.ndarray) -> Column:
-    """Sum of table entries, one for each block of the code; the tables are literals."""
-    table = F.array(*(V.lit_vector(row.tolist()) for row in lut))
-    both = F.zip_with(table, F.col("code"), lambda row, c: F.element_at(row, c.cast("int") + 1))
-    return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
-
-
 def fitting_blocks(d: int, m: int) -> int:
     """The largest number of blocks up to m that divides d."""
     return max(j for j in range(1, min(m, d) + 1) if d % j == 0)
@@ -156,7 +203,7 @@ def fitting_blocks(d: int, m: int) -> int:
 
 @dataclass
 class PQ:
-    """Product codes, scored by tables of partial distances; lists > 1 puts inverted lists before them (residual codes)."""
+    """Product codes, scored by the distance to what they stand for; lists > 1 puts inverted lists before them (residual codes)."""
 
     metric: str = "l2"
     m: int = 100
@@ -180,30 +227,40 @@ class PQ:
         if self.codes is None:
             raise RuntimeError("build the index first")
         x = _query(q, self.metric)
-        near = np.argsort(((self.centers - x) ** 2).sum(axis=1), kind="stable")[: max(1, self.nprobe)].tolist()
-        width = self.books.shape[2]
-        parts = []
-        for c in near:
-            r = (x - self.centers[c]).reshape(self.m, 1, width)
-            lut = ((self.books - r) ** 2).sum(axis=2)
-            parts.append(self.codes.filter(F.col("ball_id") == c).select("id", F.sqrt(_lut_score(lut)).alias("score")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return _top(out, k + extra)
+        near = _nearest_lists(self.centers, x, self.nprobe)
+        return _top(_best(self.codes.filter(F.col("ball_id").isin(near.tolist())), self._scores(x[None, :]), k + extra).select("id", "score"), k + extra)
+
+    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
+        if self.codes is None:
+            raise RuntimeError("build the index first")
+        return _ranked(_best(self.codes, self._scores(np.array([_query(q, self.metric) for q in queries])), k), k)
+
+    def _scores(self, qs: np.ndarray):
+        """Distances to what the codes stand for."""
+        books, centers, near = self.books, self.centers, [_nearest_lists(self.centers, q, self.nprobe) for q in qs]
+
+        def scores(b):
+            ball, code = np.asarray(b.column(1)), np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
+            x = centers[ball] + np.concatenate([book[code[:, j]] for j, book in enumerate(books)], axis=1)
+            return (np.where(np.isin(ball, own), np.sqrt(((x - q) ** 2).sum(axis=1)), np.inf) for q, own in zip(qs, near))
+
+        return scores
 
 
 @dataclass
 class SignHash:
-    """Bits of random projections' signs, packed 63 to a long; Hamming distance."""
+    """Bits of random projections' signs, packed 63 to a long; Hamming distance. wide > 0: the wide nearest by it (at least those
+    asked for) are ordered by their exact distances, which are then the scores."""
 
     metric: str = "cosine"
     nbits: int = 2048
     seed: int = 5
+    wide: int = 0
     codes: DataFrame | None = field(default=None, repr=False)
+    points: DataFrame | None = field(default=None, repr=False)
 
     def build(self, points: DataFrame) -> SignHash:
-        data = _prepared(points, self.metric)
+        self.points, data = points, _prepared(points, self.metric)
         first = data.select("vec").first()
         d = len(first["vec"]) if first else 1
         self.planes = np.random.default_rng(self.seed).normal(size=(d, self.nbits))
@@ -226,7 +283,32 @@ class SignHash:
         w = _packed((_query(q, self.metric)[None, :] @ self.planes) >= 0)[0]
         other = F.array(*(F.lit(int(x)) for x in w))
         h = F.aggregate(F.zip_with("bits", other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-        return _top(self.codes.select("id", h.cast("double").alias("score")), k + extra)
+        near = _top(self.codes.select("id", h.cast("double").alias("score")), max(k + extra, self.wide))
+        return rerank(near, self.points, q, self.metric, k + extra) if self.wide else near
+
+    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
+        if self.codes is None:
+            raise RuntimeError("build the index first")
+        metric, qs, size = self.metric, np.array([_query(q, self.metric) for q in queries]), max(k, self.wide)
+        own = _packed(qs @ self.planes >= 0)
+
+        def scores(b):
+            w = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+            return (np.bitwise_count(w ^ x).sum(axis=1).astype(float) for x in own)
+
+        near = _ranked(_best(self.codes, scores, size), size)
+        if not self.wide:
+            return near
+
+        def exact(batches):
+            for b in batches:
+                if b.num_rows:
+                    x, q = _vectors(b.column(2)), qs[np.asarray(b.column(0))]
+                    s = 1 - (x * q).sum(axis=1) if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
+
+        found = near.select("qid", "id").join(_prepared(self.points, metric), "id").select("qid", F.col("id").cast("long"), "vec")
+        return _ranked(found.mapInArrow(exact, "qid int, id long, score double"), k)
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -328,9 +410,15 @@ class Graph:
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
+        return _top(self._found([q], k + extra).select("id", "score"), k + extra)
+
+    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
+        return _ranked(self._found(queries, k), k)
+
+    def _found(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
         if self.data is None:
             raise RuntimeError("build the index first")
-        query, books, m, ef = _query(q, self.metric), self.books, self.m, max(self.ef_construction, self.ef_search)
+        qs, books, m, ef = [_query(q, self.metric) for q in queries], self.books, self.m, max(self.ef_construction, self.ef_search)
 
         def run(t: pa.Table) -> pa.Table:
             ids = np.asarray(t["id"], np.int64)
@@ -338,8 +426,9 @@ class Graph:
             if books is not None:
                 code = _encode(x, books)
                 x = np.concatenate([b[code[:, j]] for j, b in enumerate(books)], axis=1)
-            found = _Graph(x, m, ef).knn(query, k + extra)
-            return pa.table({"id": pa.array([ids[i] for _, i in found], pa.int64()), "score": pa.array([float(np.sqrt(d)) for d, _ in found], pa.float64())})
+            graph = _Graph(x, m, ef)
+            found = [(i, ids[j], float(np.sqrt(d))) for i, q in enumerate(qs) for d, j in graph.knn(q, k)]
+            return pa.table({n: pa.array([f[i] for f in found], kind) for i, (n, kind) in enumerate((("qid", pa.int32()), ("id", pa.int64()), ("score", pa.float64())))})
 
         part = F.expr(f"pmod(xxhash64(id), {self.parts})")
-        return _top(self.data.select(F.col("id").cast("long"), "vec").groupBy(part.alias("part")).applyInArrow(run, "id long, score double"), k + extra)
+        return self.data.select(F.col("id").cast("long"), "vec").groupBy(part.alias("part")).applyInArrow(run, "qid int, id long, score double")
