@@ -55,7 +55,10 @@ def _emb(spark, d):
 
 def _q(spark, d, vec_id: int = 7) -> list[float]:
     """A query: a stored row's vector, doubled and shifted in its first half so that metrics differ."""
-    v = _emb(spark, d).filter(F.col("id") == vec_id).first()["vec"]
+    return _shifted(_emb(spark, d).filter(F.col("id") == vec_id).first()["vec"])
+
+
+def _shifted(v) -> list[float]:
     return [2 * x + (0.1 if i < 32 else 0.0) for i, x in enumerate(v)]
 
 
@@ -418,6 +421,19 @@ def recall_at_k(spark, d):
     return metrics.recall_at_k(ann.batch_knn(e, _BQ, 15), ann.batch_knn(e, _BQ, 10), 10)
 
 
+@query()
+def recall_of_lossy_indexes(spark, d):
+    """Mean recall of each approximate index's best 10 against the exact ones, over the queries of every id divisible by 50."""
+    e = _emb(spark, d)
+    qs = [_shifted(r["vec"]) for r in e.filter("id % 50 = 0").orderBy("id").collect()]
+    rows = []
+    for name, make in INDEXES.items():
+        index = make()
+        each = metrics.recall_at_k(index.build(e).batch(qs, 10), ann.flat_batch(e, qs, 10, index.metric), 10)
+        rows.append(each.agg(F.lit(name).alias("index"), F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall")))
+    return metrics.concat(*rows)
+
+
 _LABEL = "(SELECT label, list_transform(range(1, 65), lambda i: 0.0) AS z FROM embeddings GROUP BY label)"
 
 

@@ -53,3 +53,21 @@ def test_flat_batch(spark, stored):
     for metric in ("l2", "cosine"):
         found = ann.flat_batch(catalog._emb(spark, SF), queries.tolist(), 10, metric).collect()
         assert [{r["id"] for r in found if r["qid"] == i} for i in range(len(queries))] == brute(ids, x, queries, metric)
+
+
+def test_recall_report_is_the_brute_force_recall(spark):
+    small = "/root/testdata/sf0.001"
+    rows = sorted((r["id"], r["vec"]) for r in catalog._emb(spark, small).collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    queries = transformed(x[ids % 50 == 0])
+    report = {r["index"]: r for r in catalog.queries()["recall_of_lossy_indexes"](spark, small).collect()}
+    assert set(report) == set(catalog.INDEXES) and {r["queries"] for r in report.values()} == {len(queries)}
+    for name in ("knn_ivf", "knn_pq", "knn_lsh"):
+        index = catalog.INDEXES[name]()
+        found = index.build(catalog._emb(spark, small)).batch(queries.tolist(), 10).collect()
+        want = brute(ids, x, queries, index.metric)
+        got = np.mean([len({r["id"] for r in found if r["qid"] == i} & w) / 10 for i, w in enumerate(want)])
+        assert report[name]["recall"] == pytest.approx(got, abs=1e-6)
+        print(name, got)
+    assert min(r["recall"] for r in report.values()) >= 0.9
+    print(report)
