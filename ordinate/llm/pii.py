@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, FEATURES, ROUNDS, CERTAIN = 3000, 1 << 14, 8, 0.5
+SAMPLE, FEATURES, CERTAIN = 3000, 1 << 14, 0.5
+#: Messages are passed until they change by less than SETTLED. Those that are passed more than PATIENCE times move less and less, so that what swings comes to rest.
+SETTLED, PATIENCE, CALM = 1e-4, 256, 0.97
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -166,16 +168,20 @@ class Field:
         m = np.zeros((len(src), 5))
         e = len(edges)
         other = np.r_[np.arange(e, 2 * e), np.arange(e)]
-        for _ in range(ROUNDS):
-            total = node.copy()
-            np.add.at(total, dst, m)
-            x = (total[src] - m[other])[:, :, None] + pot
+        total, passed, todo = node.copy(), np.zeros(len(src), np.int64), np.arange(2 * e)
+        while len(todo):
+            x = (total[src[todo]] - m[other[todo]])[:, :, None] + pot[todo]
             top = x.max(axis=1)
             new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            m = 0.5 * m + 0.5 * new
-        total = node.copy()
-        np.add.at(total, dst, m)
+            step = 0.5 * CALM ** np.maximum(0, passed[todo] - PATIENCE)[:, None] * (new - m[todo])
+            m[todo] += step
+            np.add.at(total, dst[todo], step)
+            passed[todo] += 1
+            moved = todo[np.abs(step).max(axis=1) > SETTLED]
+            again, reached = np.zeros(len(src), bool), np.zeros(len(node), bool)
+            again[moved], reached[dst[moved]] = True, True
+            todo = np.flatnonzero(again | reached[src])
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
