@@ -26,10 +26,11 @@ SAMPLE, TREES, DEPTH, BINS, RATE = 400, 40, 4, 32, 0.3
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog menu center hgroup search select option button label legend iframe noscript template".split())
 CLOSES_P = BLOCK - set("html body select option button label legend iframe noscript template".split())
-RAW = ("script", "style", "title", "textarea", "xmp", "noembed", "noframes", "iframe", "svg", "math")
+RAW = ("script", "style", "title", "textarea", "noembed", "noframes", "iframe")
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
+XMP_END = re.compile(r"</xmp\s*>", re.I)
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 SPLIT = re.compile(r"[a-z]+")
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "button", "label", "select", "noscript", "address"]
@@ -101,7 +102,12 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        if tag == "a":
+        if tag == "xmp" and (end := XMP_END.search(page, pos)):  # all of it is text, tags too
+            flush()
+            buffer.append(page[pos : end.start()])
+            flush()
+            pos = end.end()
+        elif tag == "a":
             linked = 1
         elif tag in VOID:
             if tag in ("br", "wbr", "img", "hr"):
