@@ -484,6 +484,16 @@ def neighbor_remap(spark, d):
     return P.remap_neighbours(n, ids).select("qid", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query("WITH n AS (SELECT label AS qid, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label), k AS (SELECT list(DISTINCT doc_id) AS kept FROM labels) SELECT qid, array_to_string(list_transform(list_filter(ids, lambda x: list_contains(kept, x)), lambda x: x + 1000000), ',') AS ids FROM n, k")
+def neighbor_remap_whole(spark, d):
+    """Every id of each label; those that `labels` has are kept."""
+    e = _t(spark, d, "embeddings")
+    n = e.groupBy(F.col("label").alias("qid")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    kept = _t(spark, d, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
+    ids = e.join(kept, "vec_id", "left_semi").select(F.col("vec_id").alias("old"), (F.col("vec_id") + 1_000_000).alias("new")).distinct()
+    return P.remap_neighbours(n, ids).select("qid", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 # Levels ---------------------------------------------------------------------------------------------------------------
 
 
