@@ -319,7 +319,6 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     results; input columns named like outputs are replaced; an empty table gives an empty result. with_ids=False leaves out
     ids and decoded. `vocabulary` is a path that every worker can read (by default that of the installed package).
     """
-    C.small_batches(docs.sparkSession)
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
     carried = docs.drop(*made)
     if "text" in carried.columns and not with_ids:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bound what one Arrow batch may hold, so a worker's memory does not follow the longest texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000, mb: int = 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and about `mb` MB (a longer row stands alone), so that a worker's arrays
+    do not follow the session's batch size, which stays as the caller has set it."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            step = max(1, min(rows, n * (mb << 20) // max(1, batch.nbytes)))
+            for lo in range(0, n, step):
+                yield batch.slice(lo, step)
 
 
 def shards_for(spark: SparkSession, per_partition: int = 4) -> int:
@@ -30,10 +36,13 @@ def shards_for(spark: SparkSession, per_partition: int = 4) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests) name one."""
+    """Use the cluster's spark.checkpoint.dir; only a local master, whose tasks share one disk, may go without it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -67,13 +76,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     """mapInArrow with a function of one batch."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        for batch in pieces(batches):
+            out = fn(batch)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     return df.mapInArrow(run, schema)
 
@@ -87,13 +95,19 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read again, and the table's path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that `written` made and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sampled(df: DataFrame, rows: int) -> DataFrame:

@@ -390,14 +390,13 @@ def extract(pages: DataFrame, model: Trees) -> DataFrame:
     one space, blocks are joined by a line feed in page order; nothing else is dropped or cut, however long the page.
     Repeated rows give equal texts; input columns named text or n_chars are replaced; an empty table gives an empty result.
     """
-    C.small_batches(pages.sparkSession, rows=500, mb=8)
     shared = pages.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     carried = pages.drop("text", "n_chars")
     kept = [c for c in carried.columns if c != "html"]
 
     def run(batches):
         trees = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in C.pieces(batches, rows=500, mb=8):
             pages_here = [x or "" for x in batch.column("html").to_pylist()]
             texts = [t for lo in range(0, len(pages_here), 64) for t in main_texts(pages_here[lo : lo + 64], trees)]
             cols = [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]

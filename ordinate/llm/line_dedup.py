@@ -113,7 +113,7 @@ def _requests(shards: int, least: int):
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in C.pieces(batches):
             ids, hashes = (np.asarray(batch.column(i)) for i in (0, 1))
             lines, digests = [], []
             for text in C.binary_texts(batch.column(2)):
@@ -197,7 +197,6 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, shards:
     are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
     shards = shards or C.shards_for(spark)
     keys = {"__k0": C.id_key(F.col("doc_id")), "__k1": F.xxhash64("text")}
     asked = C.stored(docs.select(keys["__k0"].alias("__k0"), keys["__k1"].alias("__k1"), "text").mapInArrow(_requests(shards, min_code_points), "shard int, batch long, keys binary, counts binary, first binary"))

@@ -285,7 +285,6 @@ def find_spans(docs: DataFrame, field: Field) -> DataFrame:
     read a bounded number of times. Repeated rows give equal spans; input columns named like outputs are replaced; an empty
     table gives an empty result.
     """
-    C.small_batches(docs.sparkSession, rows=1000, mb=8)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(field))
     made = [*(f"n_{k}" for k in KINDS), "base", "spans"]
     carried = docs.drop(*made)
@@ -293,7 +292,7 @@ def find_spans(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         model = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in C.pieces(batches, rows=1000, mb=8):
             found = find([x or "" for x in batch.column("text").to_pylist()], model)
             counts = [pa.array([sum(k == kind for _, k, _ in b) for b, _ in found], pa.int64()) for kind in range(4)]
             cols = [*(batch.column(c) for c in kept), *counts, pa.array([_text(b) for b, _ in found], pa.string()), pa.array([_text(sorted(b + m)) for b, m in found], pa.string())]

@@ -188,7 +188,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with fp (long: the fingerprint's bits)."""
-    C.small_batches(docs.sparkSession)
     carried = docs.drop("fp")
     out = [c for c in carried.columns if c != "text"]
 

@@ -95,12 +95,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 def _gather(batches):
     """A batch as one row: its texts, compressed, with ids, hashes and offsets."""
     part, seq = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        if batch.num_rows:
-            data, offsets = C.joined_texts(batch.column("text"))
-            row = _zip(data, offsets, np.asarray(batch.column("k0")), np.asarray(batch.column("k1")), level=6)
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), pa.array([row], pa.binary())], names=["batch", "texts"])
-            seq += 1
+    for batch in C.pieces(batches, rows=4000, mb=16):
+        data, offsets = C.joined_texts(batch.column("text"))
+        row = _zip(data, offsets, np.asarray(batch.column("k0")), np.asarray(batch.column("k1")), level=6)
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), pa.array([row], pa.binary())], names=["batch", "texts"])
+        seq += 1
 
 
 def _texts(blob: bytes):
@@ -433,10 +432,8 @@ def dedup_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
     of a hash of the text. Other columns are not carried. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, rows=4000, mb=16)
     parts = parts or C.shards_for(spark)
     texts = C.stored(docs.select(C.id_key(F.col("doc_id")).alias("k0"), F.xxhash64("text").alias("k1"), "text").mapInArrow(_gather, "batch long, texts binary"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
     asked = C.arrow_map(texts, _ask(parts), "bucket int, batch long, hashes binary, places binary")
     answers = C.stored(asked.groupBy("bucket").applyInArrow(_repeated, "batch long, kind int, data binary").filter("length(data) > 0"))
     own = texts.select("batch", F.lit(0).alias("kind"), F.col("texts").alias("data"))

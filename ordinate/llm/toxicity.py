@@ -330,21 +330,19 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     however long it is. Repeated rows score alike; input columns named like outputs are replaced; an empty table gives an
     empty result. The model (its size is bounded by its number of known words) is broadcast.
     """
-    C.small_batches(docs.sparkSession, rows=1000, mb=8)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     carried = docs.drop("score", "predicted")
 
     def run(batches):
         net: Model = pickle.loads(shared.value)
-        for batch in batches:
-            if batch.num_rows:
-                out = []
-                data, offsets = C.joined_texts(batch.column("text"))
-                for lo, hi in _groups(offsets, 1 << 21):
-                    out.append(net.scores(Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])))
-                s = np.concatenate(out)
-                cols = [*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "score", "predicted"])
+        for batch in C.pieces(batches, rows=1000, mb=8):
+            out = []
+            data, offsets = C.joined_texts(batch.column("text"))
+            for lo, hi in _groups(offsets, 1 << 21):
+                out.append(net.scores(Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])))
+            s = np.concatenate(out)
+            cols = [*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema), "score double, predicted int"])
     return carried.mapInArrow(run, schema)
