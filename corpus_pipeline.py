@@ -43,10 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each result is written to the shared folder and read again by the next."""
-    docs = C.table(spark, sf_dir, "documents")
+    """The stages one after the other; each result is written to the shared folder and read again by the next, and goes once
+    its successor is written. The last stage's input stays for the result that is returned."""
+    docs, path = C.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, read = stage(spark, docs, sf_dir), path
         if k < len(STAGES) - 1:
-            docs = C.written(docs)
+            docs, path = C.written(docs)
+            if read:
+                C.removed(spark, read)
     return docs
