@@ -1,11 +1,17 @@
-"""Benchmark decontamination: an Aho-Corasick automaton over the normalised windows of all benchmark items; each text is
-normalised and scanned once, and the hits' offsets are mapped back to words and to the original text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark items; each text is normalised and
+scanned once, and hits are mapped back to words and to offsets in the original text.
+
+The automaton's patterns are the items cut into runs of 7 words (all of an item of under 13 words). Any 13 words of an item
+hold one such run whole, so no window is missed, and the automaton is as long as the items and not 13 times that. Where a run
+is found, the words on both sides are compared with the item's: 13 or more that agree are windows.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import pickle
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -16,102 +22,149 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 WINDOW, SHARE = 13, 20
-#: Bytes of benchmark text whose windows go into one automaton; a larger benchmark is scanned for in several passes.
-AUTOMATON_BYTES = 4 << 20
+#: Bytes of benchmark text whose runs go into one automaton (about 50 bytes of memory each). A larger benchmark has several; they
+#: take turns over the same rows, HELD_BYTES of text at a time, so documents are still read once and a worker holds one of them.
+AUTOMATON_BYTES, HELD_BYTES = 8 << 20, 64 << 20
 #: A-Z to lower case, other letters, digits and bytes over 0x7F kept, the rest to spaces.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_built: dict[str, ahocorasick.Automaton] = {}
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_built: dict[str, Matcher] = {}
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows(text: bytes, width: int = WINDOW) -> set[bytes]:
-    w = words(text)
-    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
-
-
-def _automaton(patterns: bytes) -> ahocorasick.Automaton:
-    """Of a worker process, built once."""
-    key = hashlib.sha256(patterns).hexdigest()
+class Matcher:
+    """The automaton over (sorted ids of an item, its words), and the comparison of what surrounds a hit."""
+
+    def __init__(self, items: list[tuple[tuple[str, ...], list[bytes]]], width: int):
+        self.items, self.width, self.run = items, width, (width + 1) // 2
+        runs: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (_, w) in enumerate(items):
+            n = len(w) if len(w) < width else self.run
+            for at in range(0, len(w) - n + 1, n):
+                runs.setdefault(b" ".join(w[at : at + n]), []).append((k, at))
+        self.auto = ahocorasick.Automaton()
+        for run, places in runs.items():
+            self.auto.add_word(f" {run.decode('latin-1')} ", (run.count(b" ") + 1, places))
+        if len(self.auto):
+            self.auto.make_automaton()
+
+    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """(runs of hit words, items of which a window occurs) of a text's words."""
+        spans: list[tuple[int, int]] = []
+        found: set[int] = set()
+        if not len(self.auto) or not w:
+            return spans, found
+        normal = f" {b' '.join(w).decode('latin-1')} "
+        raw = [(end, n, places) for end, (n, places) in self.auto.iter(normal)]
+        if not raw:
+            return spans, found
+        after = np.cumsum(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32) - 1  # words that end before a byte
+        for end, n, places in raw:
+            stop = int(after[end])
+            for k, at in places:
+                lo, hi = self._grown(w, stop - n, stop, self.items[k][1], at) if n == self.run else (stop - n, stop)
+                if hi - lo >= min(self.width, len(self.items[k][1])):
+                    spans.append((lo, hi))
+                    found.add(k)
+        return spans, found
+
+    def _grown(self, w: list[bytes], lo: int, hi: int, item: list[bytes], at: int) -> tuple[int, int]:
+        """The words round w[lo:hi] that agree with the item's; beyond the next run on either side, that run's hit goes on."""
+        left, right, most = 0, 0, self.width - self.run
+        while left < most and left < lo and left < at and w[lo - left - 1] == item[at - left - 1]:
+            left += 1
+        end = at + hi - lo
+        while right < most and hi + right < len(w) and end + right < len(item) and w[hi + right] == item[end + right]:
+            right += 1
+        return lo - left, hi + right
+
+
+def _matcher(block: bytes, width: int) -> Matcher:
+    """Of a worker process; one at a time is held."""
+    key = hashlib.sha256(block).hexdigest()
     if key not in _built:
         _built.clear()
-        auto = ahocorasick.Automaton()
-        for window, items in pickle.loads(patterns).items():
-            auto.add_word(f" {window.decode('latin-1')} ", (len(window) + 2, items))
-        if len(auto):
-            auto.make_automaton()
-        _built[key] = auto
+        _built[key] = Matcher(pickle.loads(block), width)
     return _built[key]
 
 
-def _scan(patterns):
-    schema = pa.schema([("n_words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string()))])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        auto = _automaton(patterns.value)
-        counts, hits, found = [], [], []
-        old_hits, old_items = batch.column("__hit").to_pylist(), batch.column("__items").to_pylist()
-        for text, hit, items in zip(C.binary_texts(batch.column("text")), old_hits, old_items):
-            w = words(text)
-            counts.append(len(w))
-            spans, new = [], set()
-            if len(auto) and w:
-                normal = f" {b' '.join(w).decode('latin-1')} "
-                for end, (length, ids) in auto.iter(normal):
-                    spans.append((end - length + 1, end))
-                    new.update(ids)
-            if spans:
-                at = np.cumsum(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
-                mask = np.zeros(len(w) + 1, np.int32)
-                lo, hi = np.array(spans).T
-                np.add.at(mask, at[lo] - 1, 1)
-                np.add.at(mask, at[hi] - 1, -1)
-                covered = np.cumsum(mask[:-1]) > 0
-                if hit:
-                    covered |= np.frombuffer(hit, bool)
-                hit, items = covered.tobytes(), sorted({*(items or ()), *new})
-            hits.append(hit)
-            found.append(items)
-        keep = [batch.column(i) for i in range(batch.num_columns - 3)]
-        return pa.RecordBatch.from_arrays([*keep, pa.array(counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=batch.schema.names)
-
-    return run, schema
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about `most` bytes."""
+    group, size = [], 0
+    for batch in C.pieces(batches):
+        group.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _spans(text: bytes, hit: np.ndarray) -> list[dict]:
+    return [{"start": a, "stop": z} for a, z in hit_spans(text.decode("utf-8", "replace"), hit.tobytes())]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """docs with n_words, n_hit, n_items, items (sorted ids as strings), hit (a byte a word, null if none), contaminated.
+    """docs with n_words, n_hit, n_items, items (sorted ids as strings), hit (a byte a word, null if none), hit_at (runs of hit
+    words as offsets of the original text, in code points, end exclusive) and contaminated.
 
     A window is `width` consecutive words of an item (all its words, if fewer); a document's word inside any occurrence is
     hit; contaminated: n_hit > 0 and share * n_hit >= n_words. Null or empty texts have no words and are clean; items
-    without words, and items whose id is null, have no windows. Equal windows of several items count for each. Repeated
-    rows are judged alike; input columns named like outputs are replaced; empty tables give no hits or no rows.
-    The windows are broadcast by blocks of items of a checked size, one pass for each block.
+    without words, and items whose id is null, have no windows. Equal items each count. Repeated rows are judged alike; input
+    columns named like outputs are replaced; empty tables give no hits or no rows. Documents are read once, whatever the
+    benchmark's size; it is broadcast by blocks of a checked size.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // automaton_bytes))
-    made = ("n_words", "n_hit", "n_items", "items", "hit", "contaminated")
+    count = max(1, -(-size // automaton_bytes))
+    shared = []
+    for k in range(count):
+        same: dict[tuple[bytes, ...], set[str]] = {}
+        for r in items.filter(F.expr(f"pmod(xxhash64(text), {count}) = {k}")).toLocalIterator():
+            if w := words(r["text"].encode()):
+                same.setdefault(tuple(w), set()).add(r["id"])
+        shared.append(spark.sparkContext.broadcast(pickle.dumps(sorted((tuple(sorted(ids)), list(w)) for w, ids in same.items()))))
+    made = ["n_words", "n_hit", "n_items", "items", "hit", "hit_at", "contaminated"]
     plain = docs.drop(*made)
-    out = plain.withColumns({"__n": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.lit(None).cast("array<string>")})
-    for k in range(blocks):
-        patterns: dict[bytes, set[str]] = {}
-        for r in items.filter(F.expr(f"pmod(xxhash64(id), {blocks}) = {k}")).toLocalIterator():
-            for w in windows(r["text"].encode(), width):
-                patterns.setdefault(w, set()).add(r["id"])
-        shared = spark.sparkContext.broadcast(pickle.dumps({w: tuple(sorted(patterns[w])) for w in sorted(patterns)}))
-        out = C.arrow_map(out, _scan(shared)[0], out.schema)
-    n_hit = F.coalesce(F.length(F.replace(F.hex("__hit"), F.lit("00"), F.lit(""))) / 2, F.lit(0)).cast("long")
-    out = out.withColumns({"n_words": F.col("__n"), "n_hit": n_hit, "items": F.coalesce("__items", F.array().cast("array<string>")), "hit": F.col("__hit")}).drop("__n", "__hit", "__items")
-    return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))})
+    at = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), at, pa.bool_()]
+
+    def run(batches):
+        for group in _held(batches, HELD_BYTES if count > 1 else 1):
+            texts = [C.binary_texts(b.column("text")) for b in group]
+            masks: dict[tuple[int, int], tuple[np.ndarray, set[str]]] = {}
+            for block in shared:
+                matcher = _matcher(block.value, width)
+                for i, own in enumerate(texts):
+                    for j, text in enumerate(own):
+                        w = words(text)
+                        spans, found = matcher.hits(w)
+                        if spans:
+                            mask, ids = masks.setdefault((i, j), (np.zeros(len(w), bool), set()))
+                            for lo, hi in spans:
+                                mask[lo:hi] = True
+                            ids.update(x for k in found for x in matcher.items[k][0])
+            for i, batch in enumerate(group):
+                out = []
+                for j, text in enumerate(texts[i]):
+                    n = len(words(text))
+                    mask, ids = masks.get((i, j), (None, ()))
+                    hit = 0 if mask is None else int(mask.sum())
+                    out.append((n, hit, len(ids), sorted(ids), None if mask is None else mask.tobytes(), [] if mask is None else _spans(text, mask), hit > 0 and share * hit >= n))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=[*batch.schema.names, *made])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), "n_words long, n_hit long, n_items long, items array<string>, hit binary, hit_at array<struct<start: long, stop: long>>, contaminated boolean"])
+    return plain.mapInArrow(run, schema)
 
 
 def hit_spans(text: str, hit: bytes) -> list[tuple[int, int]]:
     """Maximal runs of hit words as offsets (code points, end exclusive) of the original text."""
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    at = [m.span() for m in WORD.finditer(text)]
     out: list[tuple[int, int]] = []
     for i, (span, h) in enumerate(zip(at, hit)):
         if h and out and hit[i - 1]:
