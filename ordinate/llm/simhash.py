@@ -1,17 +1,18 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
 A fingerprint is cut into 32 segments of two bits; the vector of the segments' popcounts embeds it so that the Manhattan
-distance of two vectors is a lower bound of the fingerprints' Hamming distance. Fingerprints within `distance` differ in at
-most that many coordinates' groups: with the coordinates in m groups, at least m - distance of them are equal. A grid has
-one cell table for each choice of m - distance groups; two fingerprints in one cell are compared by the bound, then exactly.
-m grows with the number of distinct fingerprints, so that a cell of unrelated ones stays small. Within a cell, links are
-kept as a spanning forest; cells over a size are dealt in pairs of blocks. Components come from label passing with pointer
-jumping over distinct fingerprints, on the cluster.
+distance of two vectors is a lower bound of the fingerprints' Hamming distance. The join is a range join on a grid of that
+space: with the coordinates in m groups, some choice of s groups holds so little of a distance of 4 or less that the two
+vectors are within Manhattan distance 2 there. In the unit grid over those groups each vector enters its own cell and all
+cells at distance 1, so two vectors within 2 meet in one. Who meets is compared by the bound over all coordinates, then
+exactly. Within a cell, links are kept as a spanning forest; cells over a size are dealt in pairs of blocks. Components come
+from label passing with pointer jumping over distinct fingerprints, on the cluster.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from ordinate.llm import common as C
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = 32
-#: Most fingerprints of one cell that one task compares with each other.
-CELL = 2048
+#: Most fingerprints of one cell that one task compares with each other, and most rows of a table that is broadcast.
+CELL, FEW = 2048, 200_000
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -58,37 +59,50 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return ((pairs[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)).astype(np.int8)
 
 
-def groups_for(n: int, distance: int = DISTANCE) -> int:
-    """m, so that n random fingerprints make few pairs each: a group of g two-bit segments is equal with chance 0.375^g.
-    At least two groups make a cell: one alone leaves cells that all fingerprints share."""
-    best, best_cost = distance + 2, float("inf")
-    for m in range(distance + 2, min(SEGMENTS, distance + 6) + 1):
-        cells = len(list(combinations(range(m), m - distance)))
-        pairs = n / 2 * 0.375 ** (SEGMENTS * (m - distance) / m)
-        cost = cells * (1 + pairs / 50)
-        if cost < best_cost:
-            best, best_cost = m, cost
-    return best
+def spread_of(distance: int, m: int, s: int) -> int:
+    """The most that the s closest of m groups can differ by, all together, in vectors that differ by `distance`."""
+    each, more = divmod(distance, m)
+    return s * each + max(0, s - (m - more))
 
 
-def _cells(distance: int, m: int):
-    """A row for each fingerprint and choice of groups: the cell's key and the fingerprint."""
+def meetings(m: int, s: int, coordinates: int = SEGMENTS) -> tuple[float, float]:
+    """(cells that a vector enters, random vectors that it meets there, of one): two-bit popcounts differ by 0, 1, 2 with
+    chances 3/8, 1/2, 1/8."""
+    k, choices = coordinates * s / m, comb(m, s)
+    near = 0.375**k + k / 2 * 0.375 ** (k - 1) + (k * (k - 1) / 8 + k / 8) * 0.375 ** (k - 2)
+    return choices * (1 + 1.5 * k), choices * near
+
+
+def grid_for(n: int, distance: int = DISTANCE) -> tuple[int, int]:
+    """(m, s) with the fewest cells among those in which n random fingerprints seldom meet; their meetings would grow with the
+    square of n. Where none is so, the one with the fewest meetings."""
+    fits = [(m, s) for m in range(2, 3 * distance + 4) for s in range(1, m) if 1 <= spread_of(distance, m, s) <= 2 and meetings(m, s)[0] <= 400]
+    if not fits:
+        raise ValueError(f"distance {distance} is too wide for this grid")
+    seldom = [g for g in fits if n * meetings(*g)[1] <= 1]
+    return min(seldom, key=lambda g: meetings(*g)) if seldom else min(fits, key=lambda g: meetings(*g)[1])
+
+
+def _cells(m: int, s: int):
+    """A row for each cell that a fingerprint enters: the cell's key and the fingerprint."""
     bounds = np.linspace(0, SEGMENTS, m + 1).astype(int)
-    choices = list(combinations(range(m), m - distance))
+    choices = [[j for g in groups for j in range(bounds[g], bounds[g + 1])] for groups in combinations(range(m), s)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.asarray(batch.column(0)).view(np.uint64)
-        v = (fp & _ODD) + ((fp >> np.uint64(1)) & _ODD)
-        masks = []
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            masks.append(np.uint64(((1 << (2 * (hi - lo))) - 1) << (2 * lo)))
-        keys = []
-        for k, groups in enumerate(choices):
-            mask = np.uint64(0)
-            for g in groups:
-                mask |= masks[g]
-            keys.append(_mix((v & mask) ^ np.uint64(((k + 1) * 0x9E3779B97F4A7C15) % 2**64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp.view(np.int64), len(keys)))], names=["cell", "fp"])
+        v = (fp & _ODD) + ((fp >> np.uint64(1)) & _ODD)  # two bits a coordinate
+        keys, owners = [], []
+        for number, coordinates in enumerate(choices):
+            mask = np.uint64(sum(3 << (2 * j) for j in coordinates))
+            own, salt = v & mask, np.uint64(((number + 1) * 0x9E3779B97F4A7C15) % 2**64)
+            keys.append(own ^ salt)
+            owners.append(fp)
+            for j in coordinates:
+                at, one = (v >> np.uint64(2 * j)) & np.uint64(3), np.uint64(1 << (2 * j))
+                up, down = at < 2, at > 0
+                keys += [(own[up] + one) ^ salt, (own[down] - one) ^ salt]
+                owners += [fp[up], fp[down]]
+        return pa.RecordBatch.from_arrays([pa.array(_mix(np.concatenate(keys)).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], names=["cell", "fp"])
 
     return run
 
@@ -125,8 +139,7 @@ def forest(fp: np.ndarray, side: np.ndarray | None, distance: int) -> list[tuple
             near = near[side[near] != side[i]]
         if not len(near):
             continue
-        if len(near) > 8:
-            near = near[np.abs(v[near] - v[i]).sum(axis=1, dtype=np.int32) <= distance]
+        near = near[np.abs(v[near] - v[i]).sum(axis=1, dtype=np.int32) <= distance]
         near = near[np.bitwise_count(fp[near] ^ fp[i]) <= distance]
         for j in near.tolist():
             a, b = find(i), find(j)
@@ -152,7 +165,7 @@ def _links(distance: int):
 def links(prints: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all that are within `distance`."""
     n = prints.count()
-    dealt = C.arrow_map(prints.select("fp"), _cells(distance, groups_for(n, distance)), "cell long, fp long")
+    dealt = C.arrow_map(prints.select("fp"), _cells(*grid_for(n, distance)), "cell long, fp long")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     # a cell over the limit is cut into blocks by a hash; each pair of blocks is a task's work of its own
     blocks = F.ceil(F.col("n") / (cell // 2)).cast("int")
@@ -175,15 +188,31 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         if state.isEmpty():
             return root
-        near = state.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        near = C.stored(state.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        n = near.count()
         # chains of smaller labels: two jumps shorten them
-        jump = near.select(F.col("a").alias("m"), F.col("m").alias("m2"))
-        near = near.join(jump, "m", "left").select("a", F.coalesce("m2", "m").alias("m"))
-        jump = near.select(F.col("a").alias("m"), F.col("m").alias("m2"))
-        near = C.stored(near.join(jump, "m", "left").select("a", F.coalesce("m2", "m").alias("m")))
-        root = C.stored(root.join(near, root["root"] == near["a"], "left").select("id", F.coalesce("m", "root").alias("root")))
-        to = near.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        state = C.stored(state.join(near, "a").join(to, "b").select(F.col("m").alias("a"), F.col("mb").alias("b")).filter("a <> b").distinct())
+        for _ in range(2):
+            jump = near.select(F.col("a").alias("m"), F.col("m").alias("m2"))
+            near = C.stored(looked_up(near, jump, "m", n).select("a", F.coalesce("m2", "m").alias("m")))
+        to = near.select(F.col("a").alias("root"), "m")
+        root = C.stored(looked_up(root, to, "root", n).select("id", F.coalesce("m", "root").alias("root")))
+        state = looked_up(state, near, "a", n).select(F.col("m").alias("a"), "b")
+        state = C.stored(looked_up(state, near.select(F.col("a").alias("b"), "m"), "b", n).select("a", F.col("m").alias("b")).filter("a <> b").distinct())
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, n: int, salts: int = 64) -> DataFrame:
+    """left with the columns of right, which has one row a key and n in all; null where there is none. A key may have any share
+    of left: a small right is broadcast; else the rows of frequent keys are dealt over salts, and only their rows of right are
+    repeated for each salt."""
+    if n <= FEW:
+        return left.join(F.broadcast(right), key, "left")
+    rows = left.count()
+    often = left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(1000, rows // 2000)).select(key, F.lit(True).alias("__often"))
+    often = F.broadcast(often)  # at most 2,000 rows
+    salt = F.expr(f"cast(pmod(xxhash64({', '.join(left.columns)}), {salts}) AS int)")
+    a = left.join(often, key, "left").withColumn("__salt", F.when(F.col("__often"), salt).otherwise(0)).drop("__often")
+    b = right.join(often, key, "left").withColumn("__salt", F.explode(F.when(F.col("__often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__often")
+    return a.join(b, [key, "__salt"], "left").drop("__salt")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -210,25 +239,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     marked = C.stored(fingerprints(docs.select("doc_id", "text")))
     nodes = marked.groupBy("fp").agg(F.min(C.id_key(F.col("doc_id"))).alias("first"))
     root = components(nodes, C.stored(links(nodes.select("fp"), distance)))
-    named = nodes.join(root, nodes["fp"] == root["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first").alias("first"))
-    # what links changed is a part of the distinct fingerprints; rows of one fingerprint, however many, meet one row here
-    to = C.stored(named.select("fp", "root").join(first, "root").select("fp", F.col("first").alias("component")))
-    out = _spread(marked, to)
+    linked = root.count()
+    named = C.stored(looked_up(nodes, root.withColumnRenamed("id", "fp"), "fp", linked).select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # fingerprints without a link are their own component; the others' is the least of their root
+    first = C.stored(named.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("component")))
+    to = C.stored(looked_up(named, first, "root", first.count()).select("fp", F.coalesce("component", "first").alias("component")))
+    # rows of one fingerprint, however many, meet one row here
+    out = looked_up(marked, to, "fp", to.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != C.NULL_ID, F.col("component")).alias("component_id"))
 
 
-def _spread(marked: DataFrame, to: DataFrame, salts: int = 64) -> DataFrame:
-    """marked joined with each fingerprint's component. The rows of frequent fingerprints are dealt over salts, and only
-    their components are repeated for each salt."""
-    n = marked.count()
-    often = marked.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > max(1000, n // 2000)).select("fp")  # at most 2,000 rows
-    often = F.broadcast(often.withColumn("often", F.lit(True)))
-    left = marked.join(often, "fp", "left").withColumn("salt", F.when(F.col("often"), F.expr(f"cast(pmod(xxhash64(doc_id), {salts}) AS int)")).otherwise(0))
-    right = to.join(often, "fp", "left").withColumn("salt", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.drop("often").join(right.drop("often"), ["fp", "salt"])
-
-
 def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; of repeated ids, every row stays."""
     found = near_duplicates(docs, distance).filter("doc_id <=> component_id").select(C.id_key(F.col("doc_id")).alias("__id")).distinct()
