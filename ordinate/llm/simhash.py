@@ -165,7 +165,8 @@ def _links(distance: int):
 def links(prints: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all that are within `distance`."""
     n = prints.count()
-    dealt = C.arrow_map(prints.select("fp"), _cells(*grid_for(n, distance)), "cell long, fp long")
+    spread = prints.select("fp").repartition(C.shards_for(prints.sparkSession), "fp")  # few bytes each, but many cells
+    dealt = C.arrow_map(spread, _cells(*grid_for(n, distance)), "cell long, fp long")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     # a cell over the limit is cut into blocks by a hash; each pair of blocks is a task's work of its own
     blocks = F.ceil(F.col("n") / (cell // 2)).cast("int")
