@@ -1,8 +1,10 @@
 """Toxicity: a bidirectional GRU with attention pooling over word and character inputs, trained in numpy.
 
-A text is cut into overlapping windows of words, all windows are scored, and the highest window decides for the text. Labels
-are of texts, not windows, so training alternates: the present model (at first the words' log-odds) picks each toxic text's
-likeliest windows, and they are set against windows of the other texts, the hardest among them.
+A text is cut into overlapping windows of words, all windows are scored, and the highest window decides for the text. A word's
+input is its embedding, those of its beginnings, and a character part: the mean of the embeddings of its letter triples, its
+ends marked, so that the order of letters counts. Labels are of texts, not windows, so training alternates: the present model
+(at first the words' log-odds) picks each toxic text's likeliest window, and they are set against windows of the other texts,
+the hardest among them. Every labelled text of the sample takes part.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 WINDOW, STRIDE = 32, 24
-WORD, CHAR, HIDDEN = 8, 4, 8
+WORD, CHAR, HIDDEN, RATE = 8, 4, 8, 0.015
 #: Labelled texts that training may take, in the order of a hash of their id, and the words it may know.
 SAMPLE, KNOWN = 4000, 20_000
 #: Bytes of a word's beginning that have an embedding, too (inflected forms share it).
 BEGINNINGS = (4, 6)
+#: Embeddings of letter triples, found by a hash; the last stands for bytes that are no letters.
+TRIPLES = 4096
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,6 +63,7 @@ class Words:
             self.hash ^= self.hash >> np.uint32(15)
         else:
             self.hash = np.zeros(0, np.uint32)
+        self.triple = self._triples(letter, stop)
         self.units = [self.hash, *(self._beginning(k) for k in BEGINNINGS)]
 
     def _beginning(self, k: int) -> np.ndarray:
@@ -69,13 +74,20 @@ class Words:
             h = h * np.uint32(0x01000193) + np.where(j < self.length, c + np.uint32(1), np.uint32(0))
         return h * np.uint32(0x9E3779B1)
 
+    def _triples(self, letter: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """A hash of each letter with the letters before and after it in its word (0 at its ends)."""
+        low = self.low.astype(np.uint32)
+        before, after = np.zeros(len(low), np.uint32), np.zeros(len(low), np.uint32)
+        before[1:], after[:-1] = low[:-1], low[1:]
+        before[self.start], after[stop - 1] = 0, 0
+        h = ((before * np.uint32(0x01000193) + low) * np.uint32(0x01000193) + after) * np.uint32(0x9E3779B1)
+        return np.where(letter, h >> np.uint32(20), TRIPLES).astype(np.uint16)
+
     def chars(self, table: np.ndarray) -> np.ndarray:
-        """The mean of each word's letters' rows in the table."""
+        """The mean of each word's letter triples' rows in the table."""
         if not len(self.start):
             return np.zeros((0, table.shape[1]), np.float32)
-        table = table.copy()
-        table[~LETTER] = 0
-        sums = np.stack([np.add.reduceat(table[:, k][self.low], self.start) for k in range(table.shape[1])], axis=1)
+        sums = np.stack([np.add.reduceat(np.append(table[:TRIPLES, k], table.dtype.type(0))[self.triple], self.start) for k in range(table.shape[1])], axis=1)
         return (sums / np.maximum(self.length, 1)[:, None]).astype(np.float32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +106,10 @@ class Model:
         rng = np.random.default_rng(seed)
         w = lambda *s: (rng.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         self.known = known
-        self.p = {"E": (rng.normal(size=(len(known) + 1, WORD)) * 0.05).astype(np.float32), "C": (rng.normal(size=(256, CHAR)) * 0.3).astype(np.float32), "u": w(2 * HIDDEN), "v": w(2 * HIDDEN), "c": np.zeros(1, np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": w(WORD + CHAR, 3 * HIDDEN), f"U{d}": w(HIDDEN, 3 * HIDDEN), f"B{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.p = {
+            "E": (rng.normal(size=(len(known) + 1, WORD)) * 0.05).astype(np.float32), "C": (rng.normal(size=(TRIPLES, CHAR)) * 0.1).astype(np.float32), "u": w(2 * HIDDEN), "v": w(2 * HIDDEN), "c": np.zeros(1, np.float32),
+            "W": np.stack([w(WORD + CHAR, 3 * HIDDEN) for _ in range(2)]), "U": np.stack([w(HIDDEN, 3 * HIDDEN) for _ in range(2)]), "B": np.zeros((2, 1, 3 * HIDDEN), np.float32),
+        }
         self.scale, self.shift = 1.0, 0.0
 
     def rows(self, words: Words) -> np.ndarray:
@@ -113,73 +126,71 @@ class Model:
     def _sigmoid(x):
         return 1 / (1 + np.exp(-x))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """x: (T, n, inputs). A step without a word leaves the state as it is."""
-        p, H = self.p, HIDDEN
-        U, Un = p[f"U{d}"][:, : 2 * H], p[f"U{d}"][:, 2 * H :]
-        h = np.zeros((x.shape[1], H), np.float32)
-        out = np.empty((len(x), x.shape[1], H), np.float32)
-        gates = x @ p[f"W{d}"] + p[f"B{d}"]
-        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-            zr = self._sigmoid(gates[t, :, : 2 * H] + h @ U)
-            z, r = zr[:, :H], zr[:, H:]
-            rh = r * h
-            n = np.tanh(gates[t, :, 2 * H :] + rh @ Un)
-            if keep is not None:
-                keep.append((t, h, z, r, n))
-            h = h + mask[t][:, None] * (1 - z) * (n - h)
-            out[t] = h
-        return out
-
     def forward(self, rows: np.ndarray, chars: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logits of windows; all arguments (T, n, ...)."""
-        p = self.p
+        """Logits of windows; all arguments (T, n, ...). Both directions run side by side, the second over the steps reversed;
+        a step without a word leaves the state as it is."""
+        p, H = self.p, HIDDEN
         x = np.concatenate([p["E"][rows].sum(axis=2), chars], axis=2)
-        ks = {"f": [], "b": []} if keep is not None else {"f": None, "b": None}
-        h = np.concatenate([self._run(x, mask, d, ks[d]) for d in "fb"], axis=2)
-        a = h @ p["u"] + (mask - 1) * 1e9
+        both, on = np.stack([x, x[::-1]]), np.stack([mask, mask[::-1]])[..., None]
+        gates = both @ p["W"][:, None] + p["B"][:, None]
+        h = np.zeros((2, x.shape[1], H), x.dtype)
+        out = np.empty((2, *x.shape[:2], H), x.dtype)
+        U, Un, steps = p["U"][:, :, : 2 * H], p["U"][:, :, 2 * H :], []
+        for t in range(len(x)):
+            zr = self._sigmoid(gates[:, t, :, : 2 * H] + h @ U)
+            z, r = zr[..., :H], zr[..., H:]
+            n = np.tanh(gates[:, t, :, 2 * H :] + (r * h) @ Un)
+            if keep is not None:
+                steps.append((h, z, r, n))
+            h = h + on[:, t] * (1 - z) * (n - h)
+            out[:, t] = h
+        states = np.concatenate([out[0], out[1][::-1]], axis=2)
+        a = states @ p["u"] + (mask - 1) * 1e9
         a = np.exp(a - a.max(axis=0))
         a /= a.sum(axis=0)
-        ctx = np.einsum("tn,tnh->nh", a, h)
+        ctx = np.einsum("tn,tnh->nh", a, states)
         if keep is not None:
-            keep |= {"x": x, "h": h, "a": a, "ctx": ctx, "steps": ks}
+            keep |= {"both": both, "on": on, "h": states, "a": a, "ctx": ctx, "steps": steps}
         return ctx @ p["v"] + p["c"]
 
-    def gradients(self, rows, raw_chars, chars, mask, dlogit) -> dict[str, np.ndarray]:
-        """Back through time; raw_chars: (T, n, 256) letter shares of each word, as chars = raw_chars @ C."""
-        k: dict = {}
-        self.forward(rows, chars, mask, k)
+    def gradients(self, rows: np.ndarray, raw: Letters, chars: np.ndarray, mask: np.ndarray, dlogit: np.ndarray, kept: dict | None = None) -> dict[str, np.ndarray]:
+        """Back through time; chars = raw @ C. Of E, the gradient of its rows `rows_of_E`, in their order. kept: what
+        `forward` has kept of the same arguments."""
+        k: dict = {} if kept is None else kept
+        if kept is None:
+            self.forward(rows, chars, mask, k)
         p, H = self.p, HIDDEN
-        g = {"v": k["ctx"].T @ dlogit, "c": np.array([dlogit.sum()], np.float32)}
+        g = {"v": k["ctx"].T @ dlogit, "c": np.array([dlogit.sum()])}
         dctx = dlogit[:, None] * p["v"]
         da = np.einsum("nh,tnh->tn", dctx, k["h"])
         ds = k["a"] * (da - (k["a"] * da).sum(axis=0))
         dh_all = k["a"][:, :, None] * dctx + ds[:, :, None] * p["u"]
         g["u"] = np.einsum("tn,tnh->h", ds, k["h"])
-        dx = np.zeros_like(k["x"])
-        for i, d in enumerate("fb"):
-            W, U = p[f"W{d}"], p[f"U{d}"]
-            g[f"W{d}"], g[f"U{d}"], g[f"B{d}"] = np.zeros_like(W), np.zeros_like(U), np.zeros(3 * H, np.float32)
-            dh = np.zeros((rows.shape[1], H), np.float32)
-            for t, h, z, r, n in reversed(k["steps"][d]):
-                dh = dh + dh_all[t, :, i * H : (i + 1) * H]
-                m = mask[t][:, None]
-                dz, dn = dh * m * (h - n), dh * m * (1 - z)
-                dn_in = dn * (1 - n * n)
-                drh = dn_in @ U[:, 2 * H :].T
-                dzr = np.concatenate([dz * z * (1 - z), drh * h * r * (1 - r)], axis=1)
-                din = np.concatenate([dzr, dn_in], axis=1)
-                g[f"U{d}"][:, : 2 * H] += h.T @ dzr
-                g[f"U{d}"][:, 2 * H :] += (r * h).T @ dn_in
-                g[f"W{d}"] += k["x"][t].T @ din
-                g[f"B{d}"] += din.sum(axis=0)
-                dx[t] += din @ W.T
-                dh = dh * (1 - m * (1 - z)) + drh * r + dzr @ U[:, : 2 * H].T
-        g["E"] = np.zeros_like(p["E"])
-        for k in range(rows.shape[2]):
-            np.add.at(g["E"], rows[:, :, k].ravel(), dx[:, :, :WORD].reshape(-1, WORD))
-        g["E"][0] *= 0.1
-        g["C"] = np.einsum("tnk,tnc->kc", raw_chars, dx[:, :, WORD:], optimize=True)
+        dh_all = np.stack([dh_all[..., :H], dh_all[::-1, :, H:]])
+        din = np.empty((*k["both"].shape[:3], 3 * H), dh_all.dtype)
+        dh = np.zeros((2, rows.shape[1], H), dh_all.dtype)
+        U, Un = p["U"][:, :, : 2 * H].transpose(0, 2, 1), p["U"][:, :, 2 * H :].transpose(0, 2, 1)
+        for t in reversed(range(len(rows))):
+            h, z, r, n = k["steps"][t]
+            dh = dh + dh_all[:, t]
+            m = k["on"][:, t]
+            dn = dh * m * (1 - z) * (1 - n * n)
+            drh = dn @ Un
+            din[:, t, :, :H] = dh * m * (h - n) * z * (1 - z)
+            din[:, t, :, H : 2 * H] = drh * h * r * (1 - r)
+            din[:, t, :, 2 * H :] = dn
+            dh = dh * (1 - m * (1 - z)) + drh * r + din[:, t, :, : 2 * H] @ U
+        h, r = (np.stack([x[i] for x in k["steps"]], axis=1) for i in (0, 2))
+        flat = lambda x: x.reshape(2, -1, x.shape[-1])
+        g["W"] = flat(k["both"]).transpose(0, 2, 1) @ flat(din)
+        g["U"] = np.concatenate([flat(h).transpose(0, 2, 1) @ flat(din[..., : 2 * H]), flat(r * h).transpose(0, 2, 1) @ flat(din[..., 2 * H :])], axis=2)
+        g["B"] = flat(din).sum(axis=1, keepdims=True)
+        dx = din @ p["W"][:, None].transpose(0, 1, 3, 2)
+        dx = dx[0] + dx[1][::-1]
+        g["rows_of_E"], at = np.unique(rows, return_inverse=True)
+        at, n, units = at.ravel(), len(g["rows_of_E"]), rows.shape[2]
+        g["E"] = np.stack([np.bincount(at, np.repeat(dx[:, :, j].ravel(), units), n) for j in range(WORD)], axis=1)
+        g["C"] = raw.back(dx[:, :, WORD:])
         return g
 
     def window_logits(self, words: Words, first: np.ndarray, owner: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -220,13 +231,13 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     if not (toxic[part].any() and toxic[~part].any()) or toxic[part].all() or toxic[~part].all():
         part[:] = False
     model = _network([t for t, out in zip(texts, part) if not out], toxic[~part])
-    if part.any():
-        held = words_of([t for t, out in zip(texts, part) if out])
-        model.scale, model.shift = _calibrate(model.tops(held), toxic[part])
+    if toxic.any() and not toxic.all():
+        side = part if part.any() else ~part
+        model.scale, model.shift = _calibrate(model.tops(words_of([t for t, mine in zip(texts, side) if mine])), toxic[side])
     return model
 
 
-def _network(texts: list[bytes], toxic: np.ndarray, known: int = KNOWN, rounds: int = 4, steps: int = 250, batch: int = 128, seed: int = 3) -> Model:
+def _network(texts: list[bytes], toxic: np.ndarray, known: int = KNOWN, rounds: int = 4, steps: int = 100, batch: int = 256, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     words = words_of(texts)
     n = len(texts)
@@ -261,16 +272,15 @@ def _network(texts: list[bytes], toxic: np.ndarray, known: int = KNOWN, rounds:
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
     step = 0
     is_toxic = toxic[owner]
-    for _ in range(rounds):
+    bad = np.flatnonzero(~is_toxic)
+    seen = bad
+    for round_ in range(rounds):
         order = np.lexsort((-score, owner))
         rank = np.empty(len(owner), np.int64)
         begin = np.r_[0, np.flatnonzero(np.diff(owner[order])) + 1]
         rank[order] = np.arange(len(owner)) - np.repeat(begin, np.diff(np.r_[begin, len(owner)]))
         good = np.flatnonzero(is_toxic & (rank == 0))
-        good = good[score[good] >= np.quantile(score[good], 0.12)]  # some labels have no toxic words to show
-        bad = np.flatnonzero(~is_toxic)
-        # the hardest, without the few that labels may have missed
-        hard = bad[np.argsort(-score[bad], kind="stable")[len(good) // 40 : len(good) // 40 + 3 * len(good)]]
+        hard = seen[np.argsort(-score[seen], kind="stable")[: 3 * len(good)]]
         for _ in range(steps):
             step += 1
             pick = np.concatenate([rng.choice(good, batch // 2), rng.choice(hard, batch // 4), rng.choice(bad, batch // 4)])
@@ -278,28 +288,47 @@ def _network(texts: list[bytes], toxic: np.ndarray, known: int = KNOWN, rounds:
             a, m = at[:, pick], mask[:, pick]
             raw = _letters(words, a)
             chars = raw @ model.p["C"]
-            logit = model.forward(rows[a], chars, m)
-            g = model.gradients(rows[a], raw, chars, m, ((model._sigmoid(logit) - y) / batch).astype(np.float32))
+            kept: dict = {}
+            logit = model.forward(rows[a], chars, m, kept)
+            g = model.gradients(rows[a], raw, chars, m, ((model._sigmoid(logit) - y) / batch).astype(np.float32), kept)
+            g["E"][g["rows_of_E"] == 0] *= 0.1
             for k, v in model.p.items():
+                at_rows = g["rows_of_E"] if k == "E" else slice(None)  # a step moves the rows that it read
                 m1, m2 = moments[k]
-                m1 *= 0.9
-                m1 += 0.1 * g[k]
-                m2 *= 0.999
-                m2 += 0.001 * g[k] ** 2
-                v -= 0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-6)
-        score = model.window_logits(words, first, owner)
-    model.scale, model.shift = _calibrate(model.tops(words), toxic)
+                m1[at_rows] = 0.9 * m1[at_rows] + 0.1 * g[k]
+                m2[at_rows] = 0.999 * m2[at_rows] + 0.001 * g[k] ** 2
+                v[at_rows] -= RATE * (m1[at_rows] / (1 - 0.9**step)) / (np.sqrt(m2[at_rows] / (1 - 0.999**step)) + 1e-6)
+        # the next round's: every window of a toxic text, and of the others' as many as are hard enough to look through
+        seen = np.sort(rng.permutation(bad)[: max(len(bad) // 3, 12 * len(good))])
+        at_last = round_ == rounds - 1
+        for part in () if at_last else (np.flatnonzero(is_toxic), seen):
+            score[part] = model.window_logits(words, first[part], owner[part])
     return model
 
 
-def _letters(words: Words, at: np.ndarray) -> np.ndarray:
-    """Shares of the 256 bytes in the letters of the words at these places."""
+class Letters:
+    """The letter triples of words, as shares of each word."""
+
+    def __init__(self, where: np.ndarray, triple: np.ndarray, row: np.ndarray, length: np.ndarray):
+        self.where, self.triple, self.row, self.length = where, triple, row, length
+
+    def __matmul__(self, table: np.ndarray) -> np.ndarray:
+        sums = np.stack([np.bincount(self.row, table[self.triple, k], len(self.length)) for k in range(table.shape[1])], axis=1)
+        return (sums / self.length[:, None]).astype(table.dtype)[self.where]
+
+    def back(self, dx: np.ndarray) -> np.ndarray:
+        """The table's gradient from that of the words."""
+        flat = self.where.ravel()
+        own = np.stack([np.bincount(flat, dx[:, :, k].ravel(), len(self.length)) for k in range(dx.shape[2])], axis=1) / self.length[:, None]
+        return np.stack([np.bincount(self.triple, own[self.row, k], TRIPLES) for k in range(dx.shape[2])], axis=1)
+
+
+def _letters(words: Words, at: np.ndarray) -> Letters:
+    """The letters of the words at these places."""
     flat, where = np.unique(at, return_inverse=True)
     n = words.length[flat]
     begin = np.repeat(words.start[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    row = np.repeat(np.arange(len(flat)), n)
-    share = np.bincount(row * 256 + words.low[begin], minlength=len(flat) * 256).reshape(-1, 256) / n[:, None]
-    return share.astype(np.float32)[where.reshape(at.shape)]
+    return Letters(where.reshape(at.shape), words.triple[begin].astype(np.int64), np.repeat(np.arange(len(flat)), n), n)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
