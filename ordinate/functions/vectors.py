@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 from functools import reduce
 
@@ -30,6 +31,14 @@ def dot(vec: Vector, w: Sequence[float] | Column) -> Column:
     return F.aggregate(F.zip_with(vec, other, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def random_unit(d: int, seed: int = 42) -> list[float]:
+    """A unit vector, uniform over directions, the same for a seed."""
+    rng = random.Random(seed)
+    x = [rng.gauss(0.0, 1.0) for _ in range(d)]
+    size = math.sqrt(sum(v * v for v in x))
+    return [v / size for v in x]
+
+
 def norm(vec: Column) -> Column:
     return F.sqrt(dot(vec, vec))
 

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -181,6 +182,14 @@ def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([balls.nearest(x[:, j * width : (j + 1) * width], b) for j, b in enumerate(books)], axis=1).astype(np.int16)
 
 
+def _kept(df: DataFrame, path: str | None, *by: str) -> DataFrame:
+    """df itself, or, with a path, written there once and read from there by every query."""
+    if not path:
+        return df
+    (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _coded(points: DataFrame, books: np.ndarray, centers: np.ndarray | None) -> DataFrame:
     """(id, ball_id, code): of the vectors, or of what is left of them at their list's centre."""
 
@@ -212,7 +221,8 @@ class PQ:
     nprobe: int = 1
     codes: DataFrame | None = field(default=None, repr=False)
 
-    def build(self, points: DataFrame) -> PQ:
+    def build(self, points: DataFrame, path: str | None = None) -> PQ:
+        """With a path the codes are written there by list, and queries read only the lists they probe."""
         data = _prepared(points, self.metric)
         x = np.array([r["vec"] for r in sampling.sample(data, balls.TRAIN_ROWS).select("vec").collect()], float)
         self.m = fitting_blocks(x.shape[1], self.m)
@@ -220,7 +230,7 @@ class PQ:
         self.nlist = max(1, min(self.nlist, len(x)))
         self.centers = balls.lloyd(x, self.nlist) if self.nlist > 1 else np.zeros((1, x.shape[1]))
         self.books = _codebooks(x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
-        self.codes = _coded(balls.assign(data, self.centers), self.books, self.centers)
+        self.codes = _kept(_coded(balls.assign(data, self.centers), self.books, self.centers), path, "ball_id")
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
@@ -240,7 +250,7 @@ class PQ:
         books, centers, near = self.books, self.centers, [_nearest_lists(self.centers, q, self.nprobe) for q in qs]
 
         def scores(b):
-            ball, code = np.asarray(b.column(1)), np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
+            ball, code = np.asarray(b.column("ball_id")), np.asarray(b.column("code").flatten()).reshape(b.num_rows, -1)
             x = centers[ball] + np.concatenate([book[code[:, j]] for j, book in enumerate(books)], axis=1)
             return (np.where(np.isin(ball, own), np.sqrt(((x - q) ** 2).sum(axis=1)), np.inf) for q, own in zip(qs, near))
 
@@ -259,7 +269,7 @@ class SignHash:
     codes: DataFrame | None = field(default=None, repr=False)
     points: DataFrame | None = field(default=None, repr=False)
 
-    def build(self, points: DataFrame) -> SignHash:
+    def build(self, points: DataFrame, path: str | None = None) -> SignHash:
         self.points, data = points, _prepared(points, self.metric)
         first = data.select("vec").first()
         d = len(first["vec"]) if first else 1
@@ -274,7 +284,7 @@ class SignHash:
                     arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)), pa.array(w.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(0), arrays], names=["id", "bits"])
 
-        self.codes = data.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, bits array<long>")
+        self.codes = _kept(data.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, bits array<long>"), path)
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
@@ -399,14 +409,26 @@ class Graph:
     part_rows: int = 4096
     data: DataFrame | None = field(default=None, repr=False)
 
-    def build(self, points: DataFrame) -> Graph:
-        self.data = _prepared(points, self.metric)
+    def build(self, points: DataFrame, path: str | None = None) -> Graph:
+        """With a path each part's graph is built once and stored there; without, it is built as part of every query."""
+        data = _prepared(points, self.metric)
         self.parts = max(1, -(-points.count() // self.part_rows))
-        self.books = None
+        books = None
         if self.pq_m:
-            x = np.array([r["vec"] for r in sampling.sample(self.data, balls.TRAIN_ROWS).select("vec").collect()], float)
+            x = np.array([r["vec"] for r in sampling.sample(data, balls.TRAIN_ROWS).select("vec").collect()], float)
             self.pq_m = fitting_blocks(x.shape[1], self.pq_m)
-            self.books = _codebooks(x, self.pq_m, max(1, min(self.pq_nbits, int(np.log2(max(2, len(x)))))))
+            books = _codebooks(x, self.pq_m, max(1, min(self.pq_nbits, int(np.log2(max(2, len(x)))))))
+        m, ef = self.m, max(self.ef_construction, self.ef_search)
+
+        def run(t: pa.Table) -> pa.Table:
+            x = np.array(t["vec"].to_pylist(), float)
+            if books is not None:
+                code = _encode(x, books)
+                x = np.concatenate([b[code[:, j]] for j, b in enumerate(books)], axis=1)
+            return pa.table({"graph": pa.array([pickle.dumps((np.asarray(t["id"], np.int64), _Graph(x, m, ef)))], pa.binary())})
+
+        part = F.expr(f"pmod(xxhash64(id), {self.parts})")
+        self.data = _kept(data.select(F.col("id").cast("long"), "vec").groupBy(part.alias("part")).applyInArrow(run, "graph binary"), path)
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
@@ -418,17 +440,13 @@ class Graph:
     def _found(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
         if self.data is None:
             raise RuntimeError("build the index first")
-        qs, books, m, ef = [_query(q, self.metric) for q in queries], self.books, self.m, max(self.ef_construction, self.ef_search)
+        qs = [_query(q, self.metric) for q in queries]
 
-        def run(t: pa.Table) -> pa.Table:
-            ids = np.asarray(t["id"], np.int64)
-            x = np.array(t["vec"].to_pylist(), float)
-            if books is not None:
-                code = _encode(x, books)
-                x = np.concatenate([b[code[:, j]] for j, b in enumerate(books)], axis=1)
-            graph = _Graph(x, m, ef)
-            found = [(i, ids[j], float(np.sqrt(d))) for i, q in enumerate(qs) for d, j in graph.knn(q, k)]
-            return pa.table({n: pa.array([f[i] for f in found], kind) for i, (n, kind) in enumerate((("qid", pa.int32()), ("id", pa.int64()), ("score", pa.float64())))})
+        def run(batches):
+            for b in batches:
+                for blob in b.column(0):
+                    ids, graph = pickle.loads(blob.as_buffer())
+                    found = [(i, ids[j], float(np.sqrt(d))) for i, q in enumerate(qs) for d, j in graph.knn(q, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
 
-        part = F.expr(f"pmod(xxhash64(id), {self.parts})")
-        return self.data.select(F.col("id").cast("long"), "vec").groupBy(part.alias("part")).applyInArrow(run, "qid int, id long, score double")
+        return self.data.mapInArrow(run, "qid int, id long, score double")

@@ -113,7 +113,7 @@ class BallIndex:
             inside = self.stripe(w, lo, hi)
             above = self.stripe(w, float(np.nextafter(hi, math.inf)), math.inf).count() if hi < math.inf else 0
             if above < k <= above + inside.count():
-                return inside.orderBy(F.desc("score"), "id").offset(k - above - 1).limit(1)
+                return rank.kth_certified(inside, F.col("score"), k - above)
             eps *= 2
 
 

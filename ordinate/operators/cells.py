@@ -33,6 +33,19 @@ def median_cells(columns: Sequence[str], x: np.ndarray, depth: int) -> Column:
     return cut(x, 0, 0)
 
 
+def best_split(df: DataFrame, columns: Sequence[str], tries: int = 5, seed: int = 42) -> tuple[list[float], float, float]:
+    """(normal, threshold, balance) of the most even of `tries` random linear splits at the sample's middle score; balance is
+    | left - right | / n over all rows. All tries are counted in one scan."""
+    rows = sampling.sample(df.withColumn("__id", F.xxhash64(*columns)), TRAIN_ROWS, "__id").select(*columns).collect()
+    x = np.array([list(r) for r in rows], float).reshape(-1, len(columns))
+    normals = [V.random_unit(len(columns), seed + i) for i in range(tries)]
+    cuts = [float(np.median(x @ np.array(w))) if len(x) else 0.0 for w in normals]
+    n, *left = df.agg(F.count("*"), *(F.count_if(V.dot([F.col(c) for c in columns], w) <= t) for w, t in zip(normals, cuts))).first()
+    balance = [abs(2 * k - n) / max(1, n) for k in left]
+    best = int(np.argmin(balance))
+    return normals[best], cuts[best], balance[best]
+
+
 @dataclass
 class CellIndex:
     """members (the points with cell_id) and cells (cell_id, lo_c, hi_c, n). Appended points keep it exact once their

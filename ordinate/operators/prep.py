@@ -51,6 +51,12 @@ def encode_ordinal(df: DataFrame, columns: Sequence[str], fitted: DataFrame | No
     return df
 
 
+def feature_names(df: DataFrame, id_column: str, drop: Sequence[str] = ()) -> list[str]:
+    """The columns behind the coordinates of to_points: numeric first, then categorical."""
+    numeric, texts = split_columns(df.drop(*drop, id_column))
+    return [*numeric, *texts]
+
+
 def to_points(df: DataFrame, id_column: str, drop: Sequence[str] = ()) -> DataFrame:
     """(id, vec): nulls filled, numeric columns scaled and first, categories encoded after them."""
     data = fill_zero(df.drop(*drop))

@@ -74,6 +74,29 @@ def box_of(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Dat
     return df.groupBy(*by).agg(*aggs, F.count("*").alias("n"))
 
 
+def union_of(boxes: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The smallest box round the boxes (lo_c, hi_c, n), of all or of each group."""
+    aggs = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    return boxes.groupBy(*by).agg(*aggs, F.sum("n").alias("n"))
+
+
+def volume(lo: Sequence[Column], hi: Sequence[Column]) -> Column:
+    """Of a box; infinite beyond exp(700)."""
+    log = log_volume(lo, hi)
+    return F.when(log > 700, F.lit(float("inf"))).otherwise(F.exp(log))
+
+
+def farthest_pair(rows: DataFrame, vec: Column, key: str, most: int = 1024) -> DataFrame:
+    """(a, b, distance) of the two rows farthest apart, ties by keys: the seeds of a split. For the entries of an index's node,
+    so more than `most` rows are an error, and the smaller key is a."""
+    if rows.count() > most:
+        raise ValueError(f"more than {most} rows")
+    x = rows.select(F.col(key).alias("a"), vec.alias("p"))
+    y = F.broadcast(rows.select(F.col(key).alias("b"), vec.alias("q")))
+    far = x.join(y, F.col("a") < F.col("b")).select("a", "b", V.l2_distance(F.col("p"), F.col("q")).alias("distance"))
+    return far.orderBy(F.desc("distance"), "a", "b").limit(1)
+
+
 def log_volume(lo: Sequence[Column], hi: Sequence[Column]) -> Column:
     """Of a box, each side taken as 1e-10 at least."""
     return reduce(lambda a, b: a + b, (F.ln(F.greatest(b - a, F.lit(1e-10))) for a, b in zip(lo, hi)))

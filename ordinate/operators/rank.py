@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,9 @@ def kth_exhaustive(df: DataFrame, score: Column, k: int, id_column: str = "id")
 
 
 def kth_certified(df: DataFrame, score: Column, k: int, eps: float = 0.01, id_column: str = "id", direct: int = DIRECT_K) -> DataFrame:
-    """The same row by a score interval that is known to hold rank k: bounds from quantiles, counts above and inside to
-    certify them, a sort of the inside only. A k near an end goes by a top-k from that end."""
+    """The same row by score intervals that are known to hold rank k: bounds from quantiles, counts above and inside to certify
+    them, narrowed until at most 4 * direct rows are inside, of which a top-k is taken. Rows tied at the k-th score, if they
+    are more, are narrowed by their ids (numeric) in the same way. A k near an end goes by a top-k from that end."""
     s = df.select(F.col(id_column), score.alias("score"))
     n = s.count()
     if not 1 <= k <= n:
@@ -37,21 +39,33 @@ def kth_certified(df: DataFrame, score: Column, k: int, eps: float = 0.01, id_co
         return s.orderBy(F.desc("score"), id_column).offset(k - 1).limit(1)
     if n - k < direct:
         return s.orderBy("score", F.desc(id_column)).offset(n - k).limit(1)
-    while True:
-        ends = [min(1.0, max(0.0, 1 - k / n + d)) for d in (-eps, eps)]
-        lo, hi = s.agg(F.percentile_approx("score", ends, 10_000)).first()[0]
-        lo = -math.inf if ends[0] <= 0 else lo
-        hi = math.inf if ends[1] >= 1 else hi
-        inside = F.col("score").between(lo, hi)
-        above, held = s.agg(F.count_if(F.col("score") > hi), F.count_if(inside)).first()
-        if above < k <= above + held and (held <= max(4 * eps * n, 4 * direct) or eps >= 1):
-            return s.filter(inside).orderBy(F.desc("score"), id_column).offset(k - above - 1).limit(1)
-        if above < k <= above + held:  # heavy ties: those above a tied score are few, and ids decide among the tied
-            at = s.filter(inside).groupBy("score").count().orderBy(F.desc("score"))
-            before = F.sum("count").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
-            row = at.withColumn("before", F.coalesce(before, F.lit(0)) + above).filter((F.col("before") < k) & (F.col("before") + F.col("count") >= k)).first()
-            return s.filter(F.col("score") == row["score"]).orderBy(id_column).offset(k - row["before"] - 1).limit(1)
-        eps *= 2
+    lo, hi, below, held = _narrowed(s, "score", n - k + 1, n, eps, 4 * direct)
+    inside, above = s.filter(F.col("score").between(lo, hi)), n - below - held
+    if held > 4 * direct:  # lo = hi: ids decide
+        lo, hi, before, held = _narrowed(inside, id_column, k - above, held, eps, 4 * direct)
+        return inside.filter(F.col(id_column).between(lo, hi)).orderBy(id_column).offset(k - above - before - 1).limit(1)
+    return inside.orderBy(F.desc("score"), id_column).offset(k - above - 1).limit(1)
+
+
+def _narrowed(s: DataFrame, column: str, k: int, n: int, eps: float, most: int) -> tuple:
+    """(lo, hi, rows below, rows inside) of a closed interval that holds the k-th smallest, with at most `most` rows or one value."""
+    c = F.col(column)
+    lo, hi = s.agg(F.min(c), F.max(c)).first()
+    below, held, width = 0, n, eps
+    while held > most and lo != hi:
+        p = (k - below) / held
+        inside = s.filter(c.between(lo, hi))
+        a, mid, z = inside.agg(F.percentile_approx(c, [max(0.0, p - width), min(1.0, p), min(1.0, p + width)], 10_000)).first()[0]
+        under, within, less, same, next_down, next_up = inside.agg(F.count_if(c < a), F.count_if(c.between(a, z)), F.count_if(c < mid), F.count_if(c == mid), F.max(F.when(c < mid, c)), F.min(F.when(c > mid, c))).first()
+        if below + under < k <= below + under + within and within <= held / 2:
+            lo, hi, below, held = a, z, below + under, within
+        elif k <= below + less:  # the middle value parts them in any case
+            hi, held = next_down, less
+        elif k <= below + less + same:
+            lo, hi, below, held = mid, mid, below + less, same
+        else:
+            lo, below, held = next_up, below + less + same, held - less - same
+    return lo, hi, below, held
 
 
 def _lists(df: DataFrame, parts: Sequence[Column], depth: int, id_column: str) -> DataFrame:
@@ -92,14 +106,10 @@ def kth_threshold(df: DataFrame, columns: Sequence[str], w: Sequence[float], k:
         lists = _lists(df, parts, min(depth, n), id_column)
         frontier = lists.groupBy("rank").agg(F.sum("part").alias("threshold"))
         seen = df.select(id_column, V.dot(cols, w).alias("score")).join(lists.groupBy(id_column).agg(F.min("rank").alias("first")), id_column)
-        # rank x stops if k ids with first <= x score its threshold; both tables are of depth * lists rows at most
-        rows = sorted((r["first"], r["score"]) for r in seen.select("first", "score").collect()) if depth <= 4096 else None
-        steps = [(r["rank"], r["threshold"]) for r in frontier.orderBy("rank").collect()] if rows is not None else None
-        if rows is None:
-            pairs = frontier.join(F.broadcast(seen.orderBy(F.desc("score")).limit(4 * k)), (F.col("first") <= F.col("rank")) & (F.col("score") >= F.col("threshold")))
-            hit = pairs.groupBy("rank").count().filter(F.col("count") >= k).agg(F.min("rank")).first()[0]
-        else:
-            hit = _first_stop(rows, steps, k)
+        # rank x stops if k ids with first <= x score its threshold; both tables have at most depth * lists rows, and stream
+        # through the driver in rank order
+        rows = seen.select("first", "score").orderBy("first").toLocalIterator()
+        hit = _first_stop(rows, frontier.orderBy("rank").toLocalIterator(), k)
         if hit is not None or depth >= n:
             break
         depth *= 2
@@ -107,17 +117,17 @@ def kth_threshold(df: DataFrame, columns: Sequence[str], w: Sequence[float], k:
     return seen.filter(F.col("first") <= hit).select(id_column, "score", F.lit(hit).alias("depth")).orderBy(F.desc("score"), id_column).offset(k - 1).limit(1)
 
 
-def _first_stop(rows: list[tuple[int, float]], steps: list[tuple[int, float]], k: int) -> int | None:
-    import heapq
-
+def _first_stop(rows: Iterable, steps: Iterable, k: int) -> int | None:
+    """Both in rank order, streamed; k scores are held."""
     best: list[float] = []
-    i = 0
-    for rank, threshold in steps:
-        while i < len(rows) and rows[i][0] <= rank:
-            heapq.heappush(best, rows[i][1]) if len(best) < k else heapq.heappushpop(best, rows[i][1])
-            i += 1
-        if len(best) == k and best[0] >= threshold:
-            return rank
+    rows = iter(rows)
+    row = next(rows, None)
+    for step in steps:
+        while row is not None and row["first"] <= step["rank"]:
+            heapq.heappush(best, row["score"]) if len(best) < k else heapq.heappushpop(best, row["score"])
+            row = next(rows, None)
+        if len(best) == k and best[0] >= step["threshold"]:
+            return step["rank"]
     return None
 
 

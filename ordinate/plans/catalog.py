@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import ann, balls, cells, klevel, metrics, prep, ranges, rank, sampling
+from ordinate.operators import ann, balls, cells, hierarchy, klevel, metrics, prep, ranges, rank, sampling
 from ordinate.sources import points as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +654,63 @@ def drop_first_rows(spark, d):
 def zipf_points(spark, d):
     n = _t(spark, d, "orders").count()
     return P.zipf(spark, n, 4).select("id", *(F.col("vec")[i].alias(f"x{i}") for i in range(4)))
+
+
+_ZU = lambda j: f"floor(pow(({sampling.hashed_sql('id', 42 + j)} + 0.5) / 4294967296.0, -2.0))"
+
+
+@query("SELECT id, " + ", ".join(f"round(ln({_ZU(j)}), 6) AS x{j}" for j in range(4)) + " FROM (SELECT (row_number() OVER () - 1)::BIGINT AS id FROM orders)")
+def zipf_logs(spark, d):
+    """The generator's coordinates by their logarithms, as far ones have more digits than a power is exact to."""
+    n = _t(spark, d, "orders").count()
+    return P.zipf(spark, n, 4).select("id", *(F.round(F.ln(F.col("vec")[i]), 6).alias(f"x{i}") for i in range(4)))
+
+
+# Several levels, splits ------------------------------------------------------------------------------------------------
+
+
+@query(_EMB_STRIPE)
+def hierarchy_stripe(spark, d):
+    return hierarchy.Hierarchy.build(_emb(spark, d)).stripe(W4, -0.1000003, 0.2000003).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT k, true AS held FROM (VALUES (1), (20), (100)) t(k)")
+def hierarchy_candidates(spark, d):
+    """Whether the candidates of rank k hold the row that a scan finds there."""
+    e = _emb(spark, d)
+    h = hierarchy.Hierarchy.build(e, branching=2)
+    rows = [(k, not h.candidates(W4, k).join(rank.kth_exhaustive(e, V.dot(F.col("vec"), W4), k), "id", "left_semi").isEmpty()) for k in (1, 20, 100)]
+    return spark.createDataFrame(rows, "k int, held boolean")
+
+
+@query("SELECT min(p_size) AS lo_p_size, max(p_size) AS hi_p_size, min(p_retailprice) AS lo_p_retailprice, max(p_retailprice) AS hi_p_retailprice, count(*) AS n, round(greatest(max(p_size) - min(p_size), 1e-10) * greatest(max(p_retailprice) - min(p_retailprice), 1e-10), 3) AS area FROM part")
+def box_union(spark, d):
+    """The box round the brands' boxes, and its area."""
+    u = ranges.union_of(ranges.box_of(_t(spark, d, "part"), PC, ["p_brand"]), PC)
+    return u.withColumn("area", F.round(ranges.volume([F.col(f"lo_{c}") for c in PC], [F.col(f"hi_{c}") for c in PC]), 3))
+
+
+@query(f"SELECT x.p_brand AS a, y.p_brand AS b, round(sqrt(((x.a + x.b) / 2.0 - (y.a + y.b) / 2.0) ** 2 + ((x.c + x.e) / 2 - (y.c + y.e) / 2) ** 2), 6) AS distance FROM {_BB} x JOIN {_BB} y ON x.p_brand < y.p_brand ORDER BY 3 DESC, 1, 2 LIMIT 1")
+def split_seeds(spark, d):
+    """The two brands whose boxes' centres are farthest apart."""
+    b = ranges.box_of(_t(spark, d, "part"), PC, ["p_brand"])
+    center = V.as_vec(*((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2 for c in PC))
+    return ranges.farthest_pair(b, center, "p_brand").withColumn("distance", F.round("distance", 6))
+
+
+_RU = V.random_unit(2, 7)
+_SR = f"(p_size * {_RU[0]!r}::DOUBLE + p_retailprice * {_RU[1]!r}::DOUBLE)"
+
+
+@query(f"""WITH s AS (SELECT {_SR} AS s, row_number() OVER (ORDER BY {_SR}) AS i, count(*) OVER () AS n FROM part), w AS (SELECT greatest(1, floor(count(*) * 0.1)::INTEGER) AS w FROM part),
+c AS (SELECT a.s AS lo, b.s AS hi, a.i, a.n AS total, (SELECT count(*) FROM s e WHERE e.s BETWEEN a.s AND b.s) AS n FROM s a, w JOIN s b ON b.i = a.i + w.w - 1)
+SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, n FROM c ORDER BY abs(n / total - 0.1), i LIMIT 1""")
+def random_stripe(spark, d):
+    """A stripe along a random direction that holds a tenth of the points."""
+    return rank.sample_stripe(_part(spark, d), V.dot(_cols(), _RU), 0.1).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
+
+
+@query("SELECT index, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, true AS enough FROM (VALUES ('knn_ivf'), ('knn_pq'), ('knn_ivfpq'), ('knn_lsh'), ('knn_hnsw'), ('knn_hnsw_pq')) t(index)")
+def lossy_recall_reached(spark, d):
+    """Whether each approximate index finds nine tenths of the exact best 10, over the queries of every id divisible by 50."""
+    return recall_of_lossy_indexes(spark, d).select("index", "queries", (F.col("recall") >= 0.9).alias("enough"))
