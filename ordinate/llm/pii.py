@@ -1,11 +1,11 @@
 """Personal data: pattern spans, and a skip-chain conditional random field that adds spans to them.
 
-Tokens that hold a digit or an @ are the field's variables; all others can only be of no kind. Neighbours in the text share
-a chain factor; tokens of one document that are equal, or whose digits are, share a skip factor, each with its next
+The field's variables are the pattern spans and the words that hold a digit, an @, or an @ or dot spelt out in brackets; all
+others can only be of no kind. Neighbours in the text share a chain factor; variables of one document that are equal, or
+whose digits are, or that become equal once what is spelt out is written as a sign, share a skip factor, each with its next
 occurrence, so a token repeated n times has n - 1 of them. Loopy belief propagation over all documents of a batch at once
-brings a document's labels into agreement. Node factors are a linear model over a token's shape and its neighbours, trained
-on a bounded sample of texts whose pattern spans are the labels; the factors of edges are estimated from the same (piecewise
-training).
+brings a document's labels into agreement. Node, chain and skip factors are fitted together, by the pseudo-likelihood of each
+variable given its neighbours, on a bounded sample of texts whose pattern spans are the labels.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, FEATURES, CERTAIN = 3000, 1 << 14, 0.5
+#: Texts that training reads, the longest of them in bytes, hashed features, and the share of belief that makes a span.
+SAMPLE, LONGEST, FEATURES, CERTAIN = 3000, 20_000, 1 << 14, 0.5
+#: How much two equal variables agree before training.
+AGREE = 9.0
 #: Messages are passed until they change by less than SETTLED. Those that are passed more than PATIENCE times move less and less, so that what swings comes to rest.
 SETTLED, PATIENCE, CALM = 1e-4, 256, 0.97
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +34,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MARK = re.compile(r"[0-9@]")
+MARK = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.I)
+SPELT = (re.compile(r"[\[({]at[\])}]", re.I), re.compile(r"[\[({]dot[\])}]", re.I))
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -77,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or an @, without the punctuation at their ends; long ones are no personal data as a whole."""
+    """Words with a digit, an @, or an @ or dot spelt out, without the punctuation at their ends."""
     out, upto = [], 0
     n = len(text)
     for m in MARK.finditer(text):
@@ -100,14 +104,15 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 def _shape(word: str) -> str:
     out: list[str] = []
-    for c in word[:64]:
+    for c in SPELT[1].sub(".", SPELT[0].sub("@", word)):
         k = "9" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:24])
+    return "".join(out)
 
 
 def _neighbour(text: str, at: int, step: int) -> str:
+    """The letters nearest to a place, at most 12 signs away, and of them the nearest 12."""
     i = at - 1 if step < 0 else at
     while 0 <= i < len(text) and not text[i].isalpha() and abs(i - at) < 12:
         i += step
@@ -119,7 +124,7 @@ def _neighbour(text: str, at: int, step: int) -> str:
 
 def features(text: str, a: int, z: int) -> list[int]:
     word = text[a:z]
-    digits = sum(map(str.isdigit, word[:64]))
+    digits = sum(map(str.isdigit, word))
     named = (f"s{_shape(word)}", f"n{digits}", f"l{min(z - a, 40)}", f"d{word.count('.')}", f"@{word.count('@')}", f"p{word[0]}{'9' if word[-1].isdigit() else 'a'}", f"b{_neighbour(text, a, -1)}", f"f{_neighbour(text, z, 1)}")
     return [zlib.crc32(x.encode()) % FEATURES for x in named]
 
@@ -141,7 +146,7 @@ class Field:
                 if i and a - own[i - 1][1] <= 3:
                     chain.append((base + i - 1, base + i))
                 word = text[a:z]
-                keys = {word.lower()}
+                keys = {SPELT[1].sub(".", SPELT[0].sub("@", word.lower()))}
                 if len(d := NOT_DIGIT.sub("", word)) >= 6:
                     keys.add("#" + d)
                 for before in {last[k] for k in keys if k in last}:
@@ -215,39 +220,41 @@ def train(texts: list[str], epochs: int = 12, seed: int = 1) -> Field:
     if not rows:
         return field
     y = np.array([k for _, kinds in both for k in kinds])
-    index = np.array(rows)
+    index, n = np.array(rows), len(y)
+    chain, skip = Field.edges(texts, found)
+    # what a variable's neighbours are labelled: before it, after it, and how many of its equals are of each kind
+    one = np.eye(5)[y]
+    before, after, equal = np.zeros((n, 5)), np.zeros((n, 5)), np.zeros((n, 5))
+    np.add.at(before, chain[:, 1], one[chain[:, 0]])
+    np.add.at(after, chain[:, 0], one[chain[:, 1]])
+    np.add.at(equal, skip[:, 1], one[skip[:, 0]])
+    np.add.at(equal, skip[:, 0], one[skip[:, 1]])
+    agree = AGREE * np.eye(5)  # beforehand: what is repeated agrees
+    field.skip = agree.copy()
     rng = np.random.default_rng(seed)
-    grad = np.full(field.weights.shape, 1e-2)
+    grads = {k: np.full(getattr(field, k).shape, 1e-2) for k in ("weights", "chain", "skip", "bias")}
     for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), 256):
+        order = rng.permutation(n)
+        for lo in range(0, n, 256):
             i = order[lo : lo + 256]
-            s = field.weights[index[i]].sum(axis=1) + field.bias
+            s = field.weights[index[i]].sum(axis=1) + field.bias + before[i] @ field.chain + after[i] @ field.chain.T + equal[i] @ field.skip
             p = np.exp(s - s.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(i)), y[i]] -= 1
-            g = np.zeros_like(field.weights)
-            np.add.at(g, index[i].ravel(), np.repeat(p / len(i), index.shape[1], axis=0))
-            g += 1e-5 * field.weights
-            grad += g * g
-            field.weights -= 0.3 * g / np.sqrt(grad)
-    prior = np.bincount(y, minlength=5) + 1.0
-    prior /= prior.sum()
-    for name, pairs in zip(("chain", "skip"), Field.edges(texts, found)):
-        # beforehand: chance for neighbours, agreement for what is repeated
-        joint = np.outer(prior, prior) * 2 + (30 * np.diag(prior) if name == "skip" else 0)
-        if len(pairs):
-            np.add.at(joint, (y[pairs[:, 0]], y[pairs[:, 1]]), 0.5)
-            np.add.at(joint, (y[pairs[:, 1]], y[pairs[:, 0]]), 0.5)
-        joint /= joint.sum()
-        side = joint.sum(axis=1)
-        setattr(field, name, np.clip(np.log(joint / np.outer(side, side)), -3, 3))
+            p /= len(i)
+            w, same = np.zeros_like(field.weights), equal[i].T @ p
+            np.add.at(w, index[i].ravel(), np.repeat(p, index.shape[1], axis=0))
+            step = {"weights": w + 1e-5 * field.weights, "bias": p.sum(axis=0), "chain": before[i].T @ p + p.T @ after[i] + 1e-3 * field.chain, "skip": (same + same.T) / 2 + 1e-3 * (field.skip - agree)}
+            for k, g in step.items():
+                grads[k] += g * g
+                setattr(field, k, getattr(field, k) - 0.3 * g / np.sqrt(grads[k]))
     return field
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on at most `sample` texts with a digit or an @, those of the least row hashes."""
-    rows = C.sampled(docs.filter(F.col("text").rlike("[0-9@]")), sample).select("text").collect()
+    """Train on at most `sample` texts of at most LONGEST bytes with a digit or an @, those of the least row hashes."""
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= LONGEST))
+    rows = C.sampled(some, sample).select("text").collect()
     return train([r["text"] for r in rows])
 
 
