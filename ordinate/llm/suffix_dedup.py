@@ -3,14 +3,22 @@
 Every 100-byte string has one anchor, the position in it whose 24-byte string has the least hash, so equal strings have
 their anchors at the same place. Only suffixes at anchors are sorted (about one byte in 39), each with the bytes before it
 that its strings need, and only at anchors whose 24 bytes occur twice. A batch of documents sorts its suffixes into runs,
-front-codes them (length of the prefix shared with the suffix before, then the rest) and sends one run to each part. A part
-combines its runs with a loser tree whose nodes hold the known common prefixes, so no known prefix is compared again. The
-common prefixes of the sorted suffixes, and those of the reversed bytes before them, tell the classes of equal strings, and
-with them which strings start earlier elsewhere. A suffix that a batch holds many times is sent once, with its first place.
+front-codes them (length of the prefix shared with the suffix before, then the rest) and sends one run to each part. Parts
+are ranges of the suffixes between splitters, which come from a bounded sample of the anchors that occur twice and never
+part suffixes of one anchor. A part combines its runs with a loser tree whose nodes hold the known common prefixes, so no
+known prefix is compared again. The common prefixes of the sorted suffixes, and those of the reversed bytes before them,
+tell the classes of equal strings, and with them which strings start earlier elsewhere. A suffix that a batch holds many
+times is sent once, with its first place.
+
+An anchor of very many places would make its range one task's work. Its strings are dealt by windows of o, the distance of
+a string's start from the anchor: strings with o from a to b share all but b - a of their bytes if they are equal, and those
+bytes choose the part. So each window of a suffix is sent, cut to what its strings need, and no match is lost.
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -24,7 +32,12 @@ LENGTH, GRAM = 100, 24
 PIECE = 1 << 20
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _LOW = np.uint64((1 << 30) - 1)
-_MANY = 0xFFFFFFFF
+#: Anchors of more places than the first number are dealt in so many windows.
+HOT = ((1 << 14, 4), (1 << 18, 16))
+#: One distinct anchor in RARE + 1 may become a splitter; each bucket offers at most PROPOSED of those that occur twice.
+RARE, PROPOSED = 31, 64
+_TWICE = np.uint32(1 << 31)
+_PLACES, _TEXTS, _HITS, _SAMPLE = 1, 0, 2, 9
 
 
 def _zip(*arrays: np.ndarray, level: int = 3) -> bytes:
@@ -119,28 +132,74 @@ def _ask(buckets: int):
             order = np.lexsort((h, bucket))
             h, p, bucket = h[order], p[order], bucket[order]
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            many = np.diff(np.r_[start, len(h)]) > 1
-            place = np.where(many, _MANY, p[start]).astype(np.uint32)
+            count = np.diff(np.r_[start, len(h)])
+            place = p[start].astype(np.uint32) | np.where(count > 1, _TWICE, np.uint32(0))
             h, bucket = (h[start] >> np.uint64(32)).astype(np.uint32), bucket[start]
             cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
-            rows = [(int(bucket[a]), number, h[a:b].tobytes(), place[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "batch", "hashes", "places"])
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rare = np.flatnonzero((h[a:b] & RARE) == 0)
+                grams = _grams(data, p[start[a:b][rare]])
+                more = count[a:b]
+                rows.append((int(bucket[a]), number, h[a:b].tobytes(), place[a:b].tobytes(), more[more > 1].astype(np.uint32).tobytes(), grams.tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 6, kinds)], names=["bucket", "batch", "hashes", "places", "counts", "grams"])
+
+    return run
+
+
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The anchor strings at these places, as fixed-width strings."""
+    if not len(at):
+        return np.zeros(0, f"S{GRAM}")
+    return data[at[:, None] + np.arange(GRAM)].view(f"S{GRAM}").ravel()
+
+
+def _repeated(hot: tuple[tuple[int, int], ...]):
+    """The places of hashes that another batch holds as well; of those with very many places (with kind -windows); and a
+    sample of the anchor strings that occur twice, with the number of their places (of no batch)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, np.uint32) for x in t["hashes"].to_pylist()]
+        places = [np.frombuffer(x, np.uint32) for x in t["places"].to_pylist()]
+        counts = []
+        for p, more in zip(places, t["counts"].to_pylist()):
+            count = np.ones(len(p), np.int64)
+            count[p >= _TWICE] = np.frombuffer(more, np.uint32)
+            counts.append(count)
+        every = np.concatenate(hashes)
+        known, group = np.unique(every, return_inverse=True)
+        total = np.bincount(group, np.concatenate(counts), len(known)).astype(np.int64)
+        rows, lo = [], 0
+        for number, h, p in zip(t["batch"].to_pylist(), hashes, places):
+            n = total[group[lo : lo + len(h)]]
+            lo += len(h)
+            rows.append((number, _PLACES, p[(n > 1) & (p < _TWICE)].tobytes()))
+            levels = [least for least, _ in hot[1:]] + [np.iinfo(np.int64).max]
+            rows += [(number, -windows, (p[(n > least) & (n <= most)] & ~_TWICE).tobytes()) for (least, windows), most in zip(hot, levels)]
+        rare = [x[(x & RARE) == 0] for x in hashes]
+        grams = np.concatenate([np.frombuffer(x, f"S{GRAM}") for x in t["grams"].to_pylist()])
+        own, first = np.unique(np.concatenate(rare), return_index=True)
+        n = total[np.searchsorted(known, own)]
+        pick = np.flatnonzero((n > 1) & (n <= hot[0][0]))
+        pick = pick[np.argsort(own[pick] >> np.uint32(5), kind="stable")[:PROPOSED]]
+        rows.append((C.NULL_ID, _SAMPLE, grams[first[pick]].tobytes() + n[pick].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "kind", "data"])
 
     return run
 
 
-def _repeated(t: pa.Table) -> pa.Table:
-    """The places of hashes that another batch, or the same one, holds as well."""
-    hashes = [np.frombuffer(x, np.uint32) for x in t["hashes"].to_pylist()]
-    places = [np.frombuffer(x, np.uint32) for x in t["places"].to_pylist()]
-    known, count = np.unique(np.concatenate(hashes), return_counts=True)
-    again = known[count > 1]
-    out = []
-    for h, p in zip(hashes, places):
-        at = np.minimum(np.searchsorted(again, h), max(0, len(again) - 1))
-        hit = again[at] == h if len(again) else np.zeros(len(h), bool)
-        out.append(p[hit & (p != _MANY)].tobytes())
-    return pa.table({"batch": t["batch"], "kind": pa.array([1] * len(out), pa.int32()), "data": pa.array(out, pa.binary())})
+def splitters(samples: list[bytes], parts: int) -> np.ndarray:
+    """At most parts - 1 anchor strings that divide the sampled places evenly."""
+    sizes = [len(x) // (GRAM + 8) for x in samples]
+    grams = np.concatenate([np.zeros(0, f"S{GRAM}"), *(np.frombuffer(x, f"S{GRAM}", n) for x, n in zip(samples, sizes))])
+    weight = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64, n, n * GRAM) for x, n in zip(samples, sizes))])
+    order = np.argsort(grams, kind="stable")
+    upto = np.cumsum(weight[order])
+    if not len(order):
+        return grams
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) // parts, "right")
+    return np.unique(grams[order][np.minimum(at, len(order) - 1)])
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -156,12 +215,13 @@ class Suffixes:
     """The distinct suffixes of a batch in sorted order by part, and the places of each. Both the runs that are sent and
     the places their answers come back to are made from the stored texts by this, so only the texts need a checkpoint."""
 
-    def __init__(self, texts: tuple[np.ndarray, ...], answers: list[bytes], parts: int):
+    def __init__(self, texts: tuple[np.ndarray, ...], answers: list[tuple[int, bytes]], bounds: np.ndarray, parts: int):
         data, offsets, k0, k1 = texts
         first, last, p, h = anchors(data, offsets)
         wanted = np.zeros(len(data) + 1, bool)
-        for x in answers:
-            wanted[np.frombuffer(x, np.uint32)] = True
+        for kind, x in answers:
+            if kind == _PLACES:
+                wanted[np.frombuffer(x, np.uint32)] = True
         # what the batch itself holds twice was never in doubt
         order = np.argsort(h, kind="stable")
         hs, ps = h[order], p[order]
@@ -174,10 +234,24 @@ class Suffixes:
         pick = np.flatnonzero(wanted[p])
         text = data.tobytes()
         doc = np.searchsorted(offsets, p[pick], "right") - 1
+        windows = np.ones(len(pick), np.int64)
+        at = np.zeros(len(data) + 1, bool)
+        for kind, x in answers:
+            if kind < 0 and x:
+                at[:] = False
+                at[np.frombuffer(x, np.uint32)] = True
+                windows[np.isin(h[pick], h[at[p]])] = -kind
         found: dict[tuple[int, bytes, int], list[int]] = {}
-        where = (h[pick] % np.uint64(parts)).astype(int).tolist()
-        for i, (a, z, q, part) in enumerate(zip(first[pick].tolist(), last[pick].tolist(), p[pick].tolist(), where)):
-            found.setdefault((part, text[q : z + LENGTH] + text[a:q][::-1], z + LENGTH - q), []).append(i)
+        where = np.searchsorted(bounds, _grams(data, p[pick]), "right").tolist()
+        for i, (a, z, q, part, w) in enumerate(zip(first[pick].tolist(), last[pick].tolist(), p[pick].tolist(), where, windows.tolist())):
+            if w == 1:
+                found.setdefault((part, text[q : z + LENGTH] + text[a:q][::-1], z + LENGTH - q), []).append(i)
+                continue
+            for lo, hi in zip(*_windows(w)):  # strings whose starts are lo to hi before the anchor
+                begin, end = max(lo, q - z), min(hi, q - a)
+                if begin <= end:
+                    part = crc32(text[q - lo : q + LENGTH - hi], lo) % parts
+                    found.setdefault((part, text[q : q + LENGTH - begin] + text[q - end : q][::-1], LENGTH - begin), []).append(i)
         self.keys = sorted(found)
         # the first place of each distinct suffix: by id, then text hash, then offset
         self.ids, self.hashes, self.inside, self.place = k0[doc], k1[doc], p[pick] - offsets[doc], p[pick]
@@ -212,6 +286,12 @@ class Suffixes:
             lo = hi
 
 
+def _windows(n: int) -> tuple[list[int], list[int]]:
+    """First and last o of n windows that cover all places of an anchor within its string."""
+    cut = [(LENGTH - GRAM + 1) * k // n for k in range(n + 1)]
+    return cut[:-1], [x - 1 for x in cut[1:]]
+
+
 def _ranks(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The order of triples; equal ones have one rank."""
     order = np.lexsort((c, b, a))
@@ -222,11 +302,11 @@ def _ranks(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(parts: int):
+def _runs(bounds: np.ndarray, parts: int):
     def run(t: pa.Table) -> pa.Table:
         number = t["batch"][0].as_py()
         rows = list(zip(t["kind"].to_pylist(), t["data"].to_pylist()))
-        found = Suffixes(_texts(next(x for k, x in rows if k == 0)), [x for k, x in rows if k == 1], parts)
+        found = Suffixes(_texts(next(x for k, x in rows if k == _TEXTS)), [r for r in rows if r[0] != _TEXTS], bounds, parts)
         out = [(part, number, blob) for part, blob in found.runs()]
         return pa.table([pa.array(c, x) for c, x in zip(zip(*out) if out else ((),) * 3, (pa.int32(), pa.int64(), pa.binary()))], names=["part", "batch", "data"])
 
@@ -289,7 +369,8 @@ class LoserTree:
 
 
 def repeats(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], rank: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """(n, length) of merged suffixes: whether the string that starts o bytes before the anchor starts earlier elsewhere.
+    """Of merged suffixes, a bit for each o < length: whether the string that starts o bytes before the anchor starts earlier
+    elsewhere; n rows of packed bits, little end first.
 
     sizes: (bytes of the whole, bytes from the anchor on); rank: order of their places. A suffix has the strings
     length - right <= o <= left. Two strings at the same o are equal if the suffixes share length - o bytes and the
@@ -297,7 +378,7 @@ def repeats(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], rank: np.
     """
     n = len(shared)
     right, left = sizes[:, 1].astype(np.int64), sizes[:, 0].astype(np.int64) - sizes[:, 1]
-    out = np.zeros((n, length), bool)
+    out = np.zeros((n, (length + 7) // 8), np.uint8)
     if not n:
         return out
     # equal suffixes become one, with the least rank
@@ -311,7 +392,9 @@ def repeats(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], rank: np.
     alike = np.r_[False, sh[1:] >= gram]
     mixed = alike | np.r_[alike[1:], False]
     m = np.flatnonzero(mixed)
-    found = np.zeros((len(start), length), bool)
+    found = np.zeros((len(m) + 1, length), bool)  # the last row stands for all others
+    row = np.full(len(start), len(m))
+    row[m] = np.arange(len(m))
     if len(m):
         # between two kept suffixes the shared prefix is the least on the way; the dropped ones share under `gram` anyway
         lcp = np.where(alike[m], sh[m], 0)
@@ -332,10 +415,12 @@ def repeats(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], rank: np.
             ks = key[by]
             lead = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
             best = np.repeat(low[sel][by][lead], np.diff(np.r_[lead, len(ks)]))
-            found[m[sel[by]], o] = low[sel][by] > best
-    out[:] = found[one]
+            found[sel[by], o] = low[sel][by] > best
     o = np.arange(length)
-    out |= later[:, None] & (o >= length - right[:, None]) & (o <= left[:, None])
+    for lo in range(0, n, 1 << 16):
+        b = slice(lo, lo + (1 << 16))
+        hit = found[row[one[b]]] | later[b, None] & (o >= length - right[b, None]) & (o <= left[b, None])
+        out[b] = np.packbits(hit, axis=1, bitorder="little")
     return out
 
 
@@ -363,23 +448,22 @@ def _merge(t: pa.Table) -> pa.Table:
     sizes = np.concatenate(all_sizes)
     strings = [s for r in runs for s in r[0]]
     lefts = [strings[i][sizes[i, 1] :] for i in index.tolist()]
-    hit = repeats(np.array(shared, np.int64), sizes[index], lefts, rank[index])
     bits = np.empty((len(index), (LENGTH + 7) // 8), np.uint8)
-    bits[index] = np.packbits(hit, axis=1, bitorder="little")
+    bits[index] = repeats(np.array(shared, np.int64), sizes[index], lefts, rank[index])
     answers = [bits[lo:hi].tobytes() for lo, hi in zip(base[:-1], base[1:])]
-    return pa.table({"batch": t["batch"], "part": t["part"], "kind": pa.array([2] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary())})
+    return pa.table({"batch": t["batch"], "part": t["part"], "kind": pa.array([_HITS] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary())})
 
 
-def _cut(parts: int):
+def _cut(bounds: np.ndarray, parts: int):
     """Of one batch: mark the strings that start earlier elsewhere, and cut out the bytes they cover."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.sort_by("part").to_pylist()
-        texts = _texts(next(r["data"] for r in rows if r["kind"] == 0))
+        texts = _texts(next(r["data"] for r in rows if r["kind"] == _TEXTS))
         marked = np.zeros(len(texts[0]) + 1, bool)
-        answers = [np.frombuffer(r["data"], np.uint8) for r in rows if r["kind"] == 2]
+        answers = [np.frombuffer(r["data"], np.uint8) for r in rows if r["kind"] == _HITS]
         if answers:
-            found = Suffixes(texts, [r["data"] for r in rows if r["kind"] == 1], parts)
+            found = Suffixes(texts, [(r["kind"], r["data"]) for r in rows if r["kind"] not in (_TEXTS, _HITS)], bounds, parts)
             bits = np.unpackbits(np.concatenate(answers).reshape(-1, (LENGTH + 7) // 8), axis=1, bitorder="little")[:, :LENGTH].astype(bool)
             sizes = found.sizes.astype(np.int64)
             one = np.repeat(np.arange(len(found.counts)), found.counts)
@@ -422,26 +506,29 @@ def _kept(texts: tuple[np.ndarray, ...], marked: np.ndarray) -> pa.Table:
     })
 
 
-def dedup_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def dedup_repeats(docs: DataFrame, parts: int | None = None, hot: tuple[tuple[int, int], ...] = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans in bytes, kept) for each row of docs (doc_id, text).
 
     Removed is each byte covered by a 100-byte string that also starts earlier: in a smaller doc_id, or in the same document
     before; strings may overlap, lie within one document, and are judged on the input. kept holds the other bytes (which
     may cut a character). Null is empty; documents under 100 bytes lose nothing; a null doc_id is before all others. Rows
     that repeat id and text are one document and lose the same; rows that repeat an id with other texts count in the order
-    of a hash of the text. Other columns are not carried. An empty table gives an empty result.
+    of a hash of the text. Other columns are not carried. An empty table gives an empty result. `hot` holds the numbers of
+    places from which on an anchor is dealt in windows, and how many; it changes no result.
     """
     spark = docs.sparkSession
     parts = parts or C.shards_for(spark)
     texts = C.stored(docs.select(C.id_key(F.col("doc_id")).alias("k0"), F.xxhash64("text").alias("k1"), "text").mapInArrow(_gather, "batch long, texts binary"))
-    asked = C.arrow_map(texts, _ask(parts), "bucket int, batch long, hashes binary, places binary")
-    answers = C.stored(asked.groupBy("bucket").applyInArrow(_repeated, "batch long, kind int, data binary").filter("length(data) > 0"))
-    own = texts.select("batch", F.lit(0).alias("kind"), F.col("texts").alias("data"))
-    held = answers.unionByName(own)
-    runs = held.groupBy("batch").applyInArrow(_runs(parts), "part int, batch long, data binary")
+    asked = C.arrow_map(texts, _ask(parts), "bucket int, batch long, hashes binary, places binary, counts binary, grams binary")
+    answers = C.stored(asked.groupBy("bucket").applyInArrow(_repeated(hot), "batch long, kind int, data binary").filter("length(data) > 0"))
+    # at most PROPOSED short strings for each part come to the driver
+    bounds = splitters([bytes(r["data"]) for r in answers.filter(F.col("kind") == _SAMPLE).select("data").collect()], parts)
+    own = texts.select("batch", F.lit(_TEXTS).alias("kind"), F.col("texts").alias("data"))
+    held = answers.filter(F.col("kind") != _SAMPLE).unionByName(own)
+    runs = held.groupBy("batch").applyInArrow(_runs(bounds, parts), "part int, batch long, data binary")
     hits = runs.groupBy("part").applyInArrow(_merge, "batch long, part int, kind int, data binary")
     back = hits.unionByName(held.withColumn("part", F.lit(-1)))
-    return back.groupBy("batch").applyInArrow(_cut(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
+    return back.groupBy("batch").applyInArrow(_cut(bounds, parts), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
