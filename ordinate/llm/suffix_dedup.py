@@ -35,7 +35,7 @@ _LOW = np.uint64((1 << 30) - 1)
 #: Anchors of more places than the first number are dealt in so many windows.
 HOT = ((1 << 14, 4), (1 << 18, 16))
 #: One distinct anchor in RARE + 1 may become a splitter; each bucket offers at most PROPOSED of those that occur twice.
-RARE, PROPOSED = 31, 64
+RARE, PROPOSED = 7, 64
 _TWICE = np.uint32(1 << 31)
 _PLACES, _TEXTS, _HITS, _SAMPLE = 1, 0, 2, 9
 
@@ -157,7 +157,7 @@ def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _repeated(hot: tuple[tuple[int, int], ...]):
     """The places of hashes that another batch holds as well; of those with very many places (with kind -windows); and a
-    sample of the anchor strings that occur twice, with the number of their places (of no batch)."""
+    sample of the anchor strings that occur twice, with the number of batches that hold them (of no batch)."""
 
     def run(t: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint32) for x in t["hashes"].to_pylist()]
@@ -180,10 +180,11 @@ def _repeated(hot: tuple[tuple[int, int], ...]):
         rare = [x[(x & RARE) == 0] for x in hashes]
         grams = np.concatenate([np.frombuffer(x, f"S{GRAM}") for x in t["grams"].to_pylist()])
         own, first = np.unique(np.concatenate(rare), return_index=True)
-        n = total[np.searchsorted(known, own)]
+        at = np.searchsorted(known, own)
+        n, holders = total[at], np.bincount(group, minlength=len(known))[at]  # a batch sends equal suffixes once
         pick = np.flatnonzero((n > 1) & (n <= hot[0][0]))
-        pick = pick[np.argsort(own[pick] >> np.uint32(5), kind="stable")[:PROPOSED]]
-        rows.append((C.NULL_ID, _SAMPLE, grams[first[pick]].tobytes() + n[pick].tobytes()))
+        pick = pick[np.argsort(own[pick] >> np.uint32(3), kind="stable")[:PROPOSED]]
+        rows.append((C.NULL_ID, _SAMPLE, grams[first[pick]].tobytes() + holders[pick].astype(np.int64).tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "kind", "data"])
 
     return run
