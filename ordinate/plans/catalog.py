@@ -540,6 +540,30 @@ def ray_hits(spark, d):
     return s.select("id", rays.alias("r")).filter("r.t IS NOT NULL").select("r.ray", "id", F.round("r.t", 6).alias("t"))
 
 
+_SUP0 = "(SELECT s_suppkey AS id, s_acctbal / 1000 - 4.5 AS x, s_nationkey - 12.25 AS y FROM supplier)"
+
+
+@query(f"""WITH m AS (SELECT (b.y - a.y) / (a.x * b.y - b.x * a.y) AS x, (a.x - b.x) / (a.x * b.y - b.x * a.y) AS y FROM {_SUP0} a JOIN {_SUP0} b ON a.id < b.id WHERE abs(a.x * b.y - b.x * a.y) >= 1e-10),
+g AS (SELECT atan2(y, x) AS t FROM m UNION ALL SELECT atan2(y, x) + q FROM {_SUP0}, (VALUES (pi() / 2), (-pi() / 2)) v(q) UNION ALL SELECT i * pi() / 2 FROM range(4) r(i)),
+t AS (SELECT DISTINCT t FROM (SELECT round(CASE WHEN t < 0 THEN t + 2 * pi() ELSE t END, 9) AS t FROM g) WHERE t < 6.283185307),
+r AS (SELECT t AS t0, coalesce(lead(t) OVER (ORDER BY t), 2 * pi()) AS t1 FROM t), h AS (SELECT t0, t1, id, x * cos((t0 + t1) / 2) + y * sin((t0 + t1) / 2) AS s FROM r, {_SUP0}),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t0 ORDER BY s DESC, id) AS k FROM h WHERE s > 1e-10 AND s <= 1e10) WHERE k <= (SELECT count(*) // 2 - 1 FROM supplier)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY t0) AS island FROM (SELECT *, CASE WHEN lag(id) OVER w = id AND lag(t1) OVER w = t0 THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY k ORDER BY t0)))
+SELECT k, round(min(t0), 6) AS t0, round(max(t1), 6) AS t1, any_value(id) AS id FROM i GROUP BY k, island""")
+def klevel_supplier(spark, d):
+    """All levels 1 .. n/2 - 1 of the suppliers."""
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000 - 4.5).alias("x"), (F.col("s_nationkey") - 12.25).alias("y"))
+    return klevel.levels(s, s.count() // 2 - 1).select("k", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), "id")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size - 25.5 AS x, p_retailprice / 4 - 237.4 AS y FROM part), s AS (SELECT i AS ray, id, x * cos(i * 0.1 + 0.05) + y * sin(i * 0.1 + 0.05) AS s FROM range(62) r(i), p)
+SELECT ray, id FROM (SELECT ray, id, row_number() OVER (PARTITION BY ray ORDER BY s DESC, id) AS k FROM s WHERE s > 1e-10 AND s <= 1e10) WHERE k = 32""")
+def klevel_part(spark, d):
+    """Level 32 of the parts, looked up along 62 rays."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") - 25.5).alias("x"), (F.col("p_retailprice") / 4 - 237.4).alias("y"))
+    return klevel.lookup_many(klevel.levels(p, 32, 32), 32, [i * 0.1 + 0.05 for i in range(62)]).select("ray", "id")
+
+
 @query("SELECT s_suppkey AS id, s_acctbal / 1000 AS a, s_nationkey + 0.5 AS b, -1.0 AS c FROM supplier")
 def dual_lines(spark, d):
     line = V.dual_line(F.col("s_acctbal") / 1000, (F.col("s_nationkey") + 0.5).cast("double"))
