@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordinate.functions import vectors as V
+from ordinate.operators import rank
 
 
 def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -43,10 +44,10 @@ def scale(df: DataFrame, columns: Sequence[str], low: float = -1.0, high: float
 
 def encode_ordinal(df: DataFrame, columns: Sequence[str], fitted: DataFrame | None = None) -> DataFrame:
     """Each category as its place in the sorted categories of `fitted` (df itself by default), -1 where it is unknown.
-    The place is over distinct values only."""
+    Distinct values only are ranked, part by part, so a column of many needs no single task."""
     for c in columns:
         known = (fitted if fitted is not None else df).select(F.col(c).alias("__v")).filter("__v IS NOT NULL").distinct()
-        codes = known.withColumn("__code", F.dense_rank().over(Window.orderBy("__v")) - 1)
+        codes = rank.ranked(known.withColumn("__one", F.lit(1)), "__v", "__one").select("__v", F.col("before").cast("int").alias("__code"))
         df = df.join(codes, F.col(c) == F.col("__v"), "left").withColumn(c, F.coalesce("__code", F.lit(-1))).drop("__v", "__code")
     return df
 

@@ -174,15 +174,23 @@ def sample_stripe(df: DataFrame, score: Column, share: float) -> DataFrame:
     return held.orderBy(F.abs(F.col("n") / n - share), "i").limit(1).select("lo", "hi", "n")
 
 
-def ranked(df: DataFrame, by: str, weight: str) -> DataFrame:
-    """df with `before`, the sum of `weight` over the rows with a smaller value of `by` (distinct values). Rows are ranged
-    into partitions, summed there, and shifted by the partitions' totals (one row a partition reaches the driver)."""
-    parts = df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()).persist()
-    totals = {r["__p"]: r["t"] for r in parts.groupBy("__p").agg(F.sum(weight).alias("t")).collect()}
+def ranked(df: DataFrame, by: str, weight: str, parts: int = 64) -> DataFrame:
+    """df with `before`, the sum of `weight` over the rows with a smaller value of `by` (distinct values, no nulls). Values are
+    parted at fixed ones from a bounded sample by hash, summed there, and shifted by the parts' totals (both on the driver)."""
+    drawn = sorted(r[0] for r in df.select(by).orderBy(F.xxhash64(by), by).limit(16 * parts).collect())
+    cuts = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    if not cuts:
+        part = F.lit(0)
+    else:
+        kind = df.schema[by].dataType
+        ends = F.array(*(F.lit(v).cast(kind) for v in cuts))
+        part = F.size(F.filter(ends, lambda v: v <= F.col(by)))
+    placed = df.withColumn("__p", part)
+    totals = {r["__p"]: r["t"] for r in placed.groupBy("__p").agg(F.sum(weight).alias("t")).collect()}
     shift, run = [], 0
     for p in sorted(totals):
         shift += [F.lit(p), F.lit(run)]
         run += totals[p]
     inner = F.sum(weight).over(Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
     offset = F.create_map(*shift)[F.col("__p")] if shift else F.lit(0)
-    return parts.withColumn("before", F.coalesce(inner, F.lit(0)) + offset).drop("__p")
+    return placed.withColumn("before", F.coalesce(inner, F.lit(0)) + offset).drop("__p")
