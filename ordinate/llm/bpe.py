@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -41,6 +42,24 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_others(spec: dict) -> None:
+    """Raise ValueError for a vocabulary file that asks for anything but plain byte-level BPE with PATTERN, as its ids would
+    differ from what is worked out here. The decoder must be the byte-level one, too."""
+    model, split, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"added token with {k}" for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if spec.get("normalizer"):
+        odd.append("normalizer")
+    if model.get("type") != "BPE":
+        odd.append("model")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if decoder.get("type") != "ByteLevel":
+        odd.append("decoder")
+    if odd:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(odd)}")
+
+
 class SuffixAutomaton:
     """Of all the vocabulary's tokens, built over their trie level by level."""
 
@@ -115,6 +134,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(spec)
         to_byte = byte_of()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -144,6 +164,7 @@ class Encoder:
         self.whole: dict[int, bool] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))  # what every special token's text begins with
         self.head = _Parts(self, "")
         self.tail = _Parts(self, " ")
 
@@ -253,7 +274,7 @@ class Encoder:
         return self.piece(text) if len(parts) == 1 else b"".join(map(self.known_piece, parts))
 
     def encode(self, text: str) -> bytes:
-        if self.cut and "<|" in text and self.cut.search(text):
+        if self.cut and self.mark in text and self.cut.search(text):
             out, at = [], 0
             for m in self.cut.finditer(text):
                 out += [self._ordinary(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
@@ -317,7 +338,8 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     Ids are those of the tokenizers library for the vocabulary file, without special tokens added, truncation or padding; a
     special token's own text becomes its id. Null and empty texts have no ids and decode to "". Repeated rows give equal
     results; input columns named like outputs are replaced; an empty table gives an empty result. with_ids=False leaves out
-    ids and decoded. `vocabulary` is a path that every worker can read (by default that of the installed package).
+    ids and decoded. `vocabulary` is a path that every worker can read (by default that of the installed package); a file of
+    another kind than plain byte-level BPE is a ValueError.
     """
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
     carried = docs.drop(*made)
