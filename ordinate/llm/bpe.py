@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +23,10 @@ from ordinate.llm import common as C
 
 #: The splitting pattern of the vocabulary file (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: What keeps a text from being cut at single spaces and line feeds before the pattern is applied to the parts.
-UNEVEN = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|  |\A[ \n]|\n[ \n]|[ \n]\n|[ \n]\Z")
+#: White space but the single space and line feed. A text that holds any of it, or two of those two in a row, or one at an end,
+#: is not cut at them before the pattern is applied to the parts.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
 #: Entries of each of a worker's caches (up to 0.2 KB each); longer texts are worked out each time.
 CACHE, LONGEST = 400_000, 48
 
@@ -60,6 +62,12 @@ def refuse_others(spec: dict) -> None:
         raise ValueError(f"not a plain byte-level BPE file: {', '.join(odd)}")
 
 
+def uneven(text: str) -> bool:
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", "\n ", " \n")):
+        return True
+    return any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE))
+
+
 class SuffixAutomaton:
     """Of all the vocabulary's tokens, built over their trie level by level."""
 
@@ -73,7 +81,7 @@ class SuffixAutomaton:
         for i, t in enumerate(tokens):
             if t:
                 self.own.setdefault(self.walk(t), []).append((len(t), i))
-        self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.next)
 
     def walk(self, text: bytes) -> int:
         s = 0
@@ -120,7 +128,7 @@ class SuffixAutomaton:
 
     def suffixes(self, s: int) -> tuple[tuple[int, int], ...]:
         """(length, token) of the tokens that are suffixes of state s's longest string, longest first."""
-        found = self.ends.get(s)
+        found = self.ends[s]
         if found is None:
             out, t = [], s
             while t > 0:
@@ -237,7 +245,7 @@ class Encoder:
                 m = length[s]
                 to = nxt[s].get(c)
             s, m = (to, m + 1) if to else (0, 0)
-            for n, t in ends.get(s) or sam.suffixes(s):
+            for n, t in ends[s] or sam.suffixes(s):
                 if n > m:
                     continue
                 j = i - n
@@ -257,7 +265,8 @@ class Encoder:
         while i:
             out.append(last[i])
             i = back[i]
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def known_piece(self, text: str) -> bytes:
         """Pieces share the caches of what stands between spaces: a piece alone is split into itself."""
@@ -288,7 +297,7 @@ class Encoder:
         for x in (self.head, self.tail):
             if len(x) > CACHE:
                 x.clear()
-        if UNEVEN.search(text):
+        if uneven(text):
             return b"".join(map(self.known_piece, self.split(text)))
         # no piece reaches over a single line feed, or over the place before a single space and what follows it
         head, tail, newline = self.head, self.tail, self.known_piece("\n")
