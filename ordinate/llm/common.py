@@ -51,6 +51,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_anew(df: DataFrame) -> DataFrame:
+    """`stored`, without what the plan said of its size. A checkpoint keeps its plan's estimate, and that of a join is the product
+    of its sides': a table that is joined to itself round after round has one of twice the digits each time, until the driver has
+    neither the time nor the memory to reckon it."""
+    spark, kept = df.sparkSession, stored(df)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+
+
 def id_key(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 

@@ -6,7 +6,7 @@ space: with the coordinates in m groups, some choice of s groups holds so little
 vectors are within Manhattan distance 2 there. In the unit grid over those groups each vector enters its own cell and all
 cells at distance 1, so two vectors within 2 meet in one. Who meets is compared by the bound over all coordinates, then
 exactly. Within a cell, links are kept as a spanning forest; cells over a size are dealt in pairs of blocks. Components come
-from label passing with pointer jumping over distinct fingerprints, on the cluster.
+from label passing with pointer jumping over distinct fingerprints, on the cluster, until one task can hold the links left.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from ordinate.llm import common as C
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = 32
-#: Most fingerprints of one cell that one task compares with each other, and most rows of a table that is broadcast.
-CELL, FEW = 2048, 200_000
+#: Most fingerprints of one cell that one task compares with each other; most rows of a table that is broadcast, which the driver
+#: builds and serves to every executor; most links that one task joins.
+CELL, FEW, LINKS = 2048, 20_000, 1_000_000
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -178,27 +179,57 @@ def links(prints: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> Data
     return C.arrow_map(packed.filter("size(fps) > 1"), _links(distance), "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined(batches):
+    """(id, root) of every node of the links that one task reads: the larger root is hooked to the smaller until none differ."""
+    read = [np.stack([np.asarray(b.column(i), np.int64) for i in range(2)]) for b in batches if b.num_rows]
+    if not read:
+        return
+    ids, at = np.unique(np.concatenate(read, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    for lo in range(0, len(ids), 1 << 16):
+        cut = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(ids[root[cut]])], names=["id", "root"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, links: int = LINKS) -> DataFrame:
     """(id, root): the smallest id (as unsigned order does not matter: any one, the same for all) that each node of `edges`
     reaches. Each round takes the smallest label among a node and its neighbours, hooks the old label to it, and jumps
-    pointers; rounds go with the logarithm of a component's width. Every round is a checkpoint in the shared folder."""
+    pointers; rounds go with the logarithm of a component's width. Every round is a checkpoint in the shared folder. Once
+    `links` edges or fewer are left, one task joins them: no round's tables then pass through the driver."""
+
+    def at_once(left: DataFrame) -> DataFrame:
+        return C.stored(left.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, root long"))
+
+    if edges.count() <= links:
+        return at_once(edges)
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    state = C.stored(both)
+    state = C.stored_anew(both)
     # edges carry labels: contract each round. root maps original nodes to present labels.
-    root = C.stored(state.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
+    root = C.stored_anew(state.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
     while True:
-        if state.isEmpty():
+        left = state.count()
+        if not left:
             return root
-        near = C.stored(state.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        if left <= links:
+            to = at_once(state).select(F.col("id").alias("root"), F.col("root").alias("m"))
+            return C.stored_anew(looked_up(root, to, "root", to.count()).select("id", F.coalesce("m", "root").alias("root")))
+        near = C.stored_anew(state.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         n = near.count()
         # chains of smaller labels: two jumps shorten them
         for _ in range(2):
             jump = near.select(F.col("a").alias("m"), F.col("m").alias("m2"))
-            near = C.stored(looked_up(near, jump, "m", n).select("a", F.coalesce("m2", "m").alias("m")))
+            near = C.stored_anew(looked_up(near, jump, "m", n).select("a", F.coalesce("m2", "m").alias("m")))
         to = near.select(F.col("a").alias("root"), "m")
-        root = C.stored(looked_up(root, to, "root", n).select("id", F.coalesce("m", "root").alias("root")))
+        root = C.stored_anew(looked_up(root, to, "root", n).select("id", F.coalesce("m", "root").alias("root")))
         state = looked_up(state, near, "a", n).select(F.col("m").alias("a"), "b")
-        state = C.stored(looked_up(state, near.select(F.col("a").alias("b"), "m"), "b", n).select("a", F.col("m").alias("b")).filter("a <> b").distinct())
+        state = C.stored_anew(looked_up(state, near.select(F.col("a").alias("b"), "m"), "b", n).select("a", F.col("m").alias("b")).filter("a <> b").distinct())
 
 
 def looked_up(left: DataFrame, right: DataFrame, key: str, n: int, salts: int = 64) -> DataFrame:
