@@ -126,6 +126,20 @@ def flat_batch(points: DataFrame, queries: Sequence[Sequence[float]], k: int, me
     return _ranked(_best(_prepared(points, metric).select(F.col("id").cast("long"), "vec"), lambda b: _exact(b, qs, metric), k), k)
 
 
+def _reordered(near: DataFrame, points: DataFrame, qs: np.ndarray, metric: str, k: int) -> DataFrame:
+    """(qid, id, score, rank): the best k of each query's candidates (qid, id) by their exact distances."""
+
+    def exact(batches):
+        for b in batches:
+            if b.num_rows:
+                x, q = _vectors(b.column(2)), qs[np.asarray(b.column(0))]
+                s = 1 - (x * q).sum(axis=1) if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
+
+    found = near.select("qid", "id").join(_prepared(points, metric), "id").select("qid", F.col("id").cast("long"), "vec")
+    return _ranked(found.mapInArrow(exact, "qid int, id long, score double"), k)
+
+
 @dataclass
 class IVF:
     """Inverted lists: the nprobe lists with the nearest centres are read; nprobe = nlist is exact."""
@@ -212,42 +226,57 @@ def fitting_blocks(d: int, m: int) -> int:
 
 @dataclass
 class PQ:
-    """Product codes, scored by the distance to what they stand for; lists > 1 puts inverted lists before them (residual codes)."""
+    """Product codes, scored by the distance to what they stand for; lists > 1 puts inverted lists before them (residual codes).
+    At least nprobe lists are read, and as many more as the best of a query in the training sample lie in: the share that is enough
+    depends on the table and on the query. wide > 0: the wide nearest by codes are ordered by their exact distances."""
 
     metric: str = "l2"
     m: int = 100
     nbits: int = 8
     nlist: int = 1
     nprobe: int = 1
+    wide: int = 0
     codes: DataFrame | None = field(default=None, repr=False)
+    points: DataFrame | None = field(default=None, repr=False)
 
     def build(self, points: DataFrame, path: str | None = None) -> PQ:
         """With a path the codes are written there by list, and queries read only the lists they probe."""
-        data = _prepared(points, self.metric)
+        self.points, data = points, _prepared(points, self.metric)
         x = np.array([r["vec"] for r in sampling.sample(data, balls.TRAIN_ROWS).select("vec").collect()], float)
         self.m = fitting_blocks(x.shape[1], self.m)
         self.nbits = max(1, min(self.nbits, int(np.log2(max(2, len(x))))))
         self.nlist = max(1, min(self.nlist, len(x)))
         self.centers = balls.lloyd(x, self.nlist) if self.nlist > 1 else np.zeros((1, x.shape[1]))
-        self.books = _codebooks(x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
+        self.sample, self.sample_lists = x, balls.nearest(x, self.centers)
+        self.books = _codebooks(x - self.centers[self.sample_lists], self.m, self.nbits)
         self.codes = _kept(_coded(balls.assign(data, self.centers), self.books, self.centers), path, "ball_id")
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
         if self.codes is None:
             raise RuntimeError("build the index first")
-        x = _query(q, self.metric)
-        near = _nearest_lists(self.centers, x, self.nprobe)
-        return _top(_best(self.codes.filter(F.col("ball_id").isin(near.tolist())), self._scores(x[None, :]), k + extra).select("id", "score"), k + extra)
+        x, size = _query(q, self.metric), max(k + extra, self.wide)
+        near = [self._probed(x, k + extra)]
+        found = _top(_best(self.codes.filter(F.col("ball_id").isin(near[0].tolist())), self._scores(x[None, :], near), size).select("id", "score"), size)
+        return rerank(found, self.points, q, self.metric, k + extra) if self.wide else found
 
     def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
         if self.codes is None:
             raise RuntimeError("build the index first")
-        return _ranked(_best(self.codes, self._scores(np.array([_query(q, self.metric) for q in queries])), k), k)
+        qs, size = np.array([_query(q, self.metric) for q in queries]), max(k, self.wide)
+        found = _ranked(_best(self.codes, self._scores(qs, [self._probed(q, k) for q in qs]), size), size)
+        return _reordered(found, self.points, qs, self.metric, k) if self.wide else found
 
-    def _scores(self, qs: np.ndarray):
-        """Distances to what the codes stand for."""
-        books, centers, near = self.books, self.centers, [_nearest_lists(self.centers, q, self.nprobe) for q in qs]
+    def _probed(self, q: np.ndarray, k: int) -> np.ndarray:
+        """The nearest nprobe lists, or more, up to the last that holds one of the best 4 k of the training sample: by rank, that
+        leaves out about one in 4 k + 1 of the table's best."""
+        order = _nearest_lists(self.centers, q, len(self.centers))
+        best = np.argsort(((self.sample - q) ** 2).sum(axis=1), kind="stable")[: 4 * k]
+        return order[: max(1, self.nprobe, int(np.flatnonzero(np.isin(order, self.sample_lists[best])).max(initial=0)) + 1)]
+
+    def _scores(self, qs: np.ndarray, near: list[np.ndarray]):
+        """Distances to what the codes stand for, in each query's lists."""
+        books, centers = self.books, self.centers
 
         def scores(b):
             ball, code = np.asarray(b.column("ball_id")), np.asarray(b.column("code").flatten()).reshape(b.num_rows, -1)
@@ -309,16 +338,7 @@ class SignHash:
         near = _ranked(_best(self.codes, scores, size), size)
         if not self.wide:
             return near
-
-        def exact(batches):
-            for b in batches:
-                if b.num_rows:
-                    x, q = _vectors(b.column(2)), qs[np.asarray(b.column(0))]
-                    s = 1 - (x * q).sum(axis=1) if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
-
-        found = near.select("qid", "id").join(_prepared(self.points, metric), "id").select("qid", F.col("id").cast("long"), "vec")
-        return _ranked(found.mapInArrow(exact, "qid int, id long, score double"), k)
+        return _reordered(near, self.points, qs, metric, k)
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:

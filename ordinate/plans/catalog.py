@@ -357,11 +357,11 @@ def knn_ivf_all_lists(spark, d):
     return _rr(ann.IVF("l2", nlist=16, nprobe=16).build(_emb(spark, d)).knn(_q(spark, d), 10))
 
 
-#: The approximate indexes with the reference's settings (blocks that don't divide the dimensions get fewer); sign hashes are ordered again.
+#: The approximate indexes with the reference's settings (blocks that don't divide the dimensions get fewer); sign hashes and residual codes are ordered again.
 INDEXES = {
     "knn_ivf": lambda: ann.IVF("cosine", nlist=128, nprobe=64),
     "knn_pq": lambda: ann.PQ("l2", m=100, nbits=8),
-    "knn_ivfpq": lambda: ann.PQ("l2", m=50, nbits=8, nlist=1024, nprobe=128),
+    "knn_ivfpq": lambda: ann.PQ("l2", m=50, nbits=8, nlist=1024, nprobe=128, wide=200),
     "knn_lsh": lambda: ann.SignHash("cosine", nbits=2048, wide=200),
     "knn_hnsw": lambda: ann.Graph("l2", m=32),
     "knn_hnsw_pq": lambda: ann.Graph("l2", m=64, pq_m=100, pq_nbits=8, ef_search=64),
