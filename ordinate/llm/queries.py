@@ -16,6 +16,9 @@ MODULES = {
     "toxicity": "op6_toxicity",
     "bpe": "op8_bpe",
     "topk": "op10_exact_topk",
+    "url_filter": "op11_url_filter",
+    "merkle": "op12_merkle",
+    "periodic": "op13_periodic",
 }
 
 
