@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import balls, sampling
+from ordinate.operators import balls, join, keep, sampling
 
 EXTRA = 10
+#: Rows that are kept out of the centres' training, by which the number of lists to read is chosen.
+HELD_OUT = 128
+FOUND = "qid long, id long, score double"
 
 
 def _metric(metric: str) -> str:
@@ -100,12 +103,6 @@ def _best(rows: DataFrame, scores, k: int) -> DataFrame:
     return rows.mapInArrow(run, "qid int, id long, score double")
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): each query's best k of (qid, id, score)."""
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
@@ -116,6 +113,58 @@ def _exact(b: pa.RecordBatch, queries: np.ndarray, metric: str):
     return (1 - x @ q if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries)
 
 
+def as_queries(points: DataFrame, queries: DataFrame | Sequence[Sequence[float]], metric: str) -> DataFrame:
+    """(qid, vec), prepared for the metric: a table of any size as it is, or a short list numbered from 0."""
+    if not isinstance(queries, DataFrame):
+        queries = points.sparkSession.createDataFrame([(i, [float(v) for v in q]) for i, q in enumerate(queries)], "qid long, vec array<double>")
+    return join.prepared(queries, "qid", _metric(metric))
+
+
+def _to_lists(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFrame:
+    """queries (qid, vec), once for each of the nprobe lists (group) with the nearest centres."""
+    shared = queries.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches):
+        c = shared.value
+        size, n = (c**2).sum(axis=1), max(1, min(nprobe, len(c)))
+        for b in batches:
+            near = np.argsort(size - 2 * join.vectors(b.column(1)) @ c.T, axis=1, kind="stable")[:, :n].astype(np.int32) if b.num_rows else np.zeros((0, n), np.int32)
+            groups = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, n, dtype=np.int32)), pa.array(near.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), groups], names=["qid", "vec", "groups"])
+
+    return queries.mapInArrow(run, "qid long, vec array<double>, groups array<int>").select("qid", "vec", F.explode("groups").alias("group"))
+
+
+class Stored:
+    """Indexes that a path keeps: rows as a table, all else in a table of one row."""
+
+    def _save(self, path: str | None, spark) -> None:
+        self.kept = path is not None
+        if path:
+            model = {k: v for k, v in vars(self).items() if not isinstance(v, DataFrame)}
+            spark.createDataFrame([(pickle.dumps(model),)], "model binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    def _rows(self) -> DataFrame:
+        """The index's rows, in the shared folder if no path keeps them: a batch reads them more than once."""
+        rows = getattr(self, self.ROWS)
+        if rows is None:
+            raise RuntimeError("build the index first")
+        if not getattr(self, "kept", False):
+            rows, self.kept = keep.stored(rows), True
+            setattr(self, self.ROWS, rows)
+        return rows
+
+    @classmethod
+    def load(cls, points: DataFrame, path: str):
+        """The index that build(points, path) stored there; points are what it was built of."""
+        spark = points.sparkSession
+        index = cls()
+        vars(index).update(pickle.loads(spark.read.parquet(f"{path}/model").first()["model"]))
+        setattr(index, cls.ROWS, spark.read.parquet(f"{path}/rows"))
+        index.points = points
+        return index
+
+
 def _nearest_lists(centers: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
     return np.argsort(((centers - q) ** 2).sum(axis=1), kind="stable")[: max(1, nprobe)]
 
@@ -123,27 +172,28 @@ def _nearest_lists(centers: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarra
 def flat_batch(points: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: str = "l2") -> DataFrame:
     """(qid, id, score, rank): the exact best k of many queries, numbered from 0, in one scan."""
     qs = np.array([_query(q, metric) for q in queries])
-    return _ranked(_best(_prepared(points, metric).select(F.col("id").cast("long"), "vec"), lambda b: _exact(b, qs, metric), k), k)
+    return join.ranked(_best(_prepared(points, metric).select(F.col("id").cast("long"), "vec"), lambda b: _exact(b, qs, metric), k), k)
 
 
-def _reordered(near: DataFrame, points: DataFrame, qs: np.ndarray, metric: str, k: int) -> DataFrame:
+def _reordered(near: DataFrame, points: DataFrame, queries: DataFrame, metric: str, k: int) -> DataFrame:
     """(qid, id, score, rank): the best k of each query's candidates (qid, id) by their exact distances."""
 
     def exact(batches):
         for b in batches:
             if b.num_rows:
-                x, q = _vectors(b.column(2)), qs[np.asarray(b.column(0))]
-                s = 1 - (x * q).sum(axis=1) if _metric(metric) == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
+                x, q = join.vectors(b.column(2)), join.vectors(b.column(3))
+                s = 1 - (x * q).sum(axis=1) if metric == "cosine" else np.sqrt(((x - q) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
 
-    found = near.select("qid", "id").join(_prepared(points, metric), "id").select("qid", F.col("id").cast("long"), "vec")
-    return _ranked(found.mapInArrow(exact, "qid int, id long, score double"), k)
+    found = near.select("qid", "id").join(_prepared(points, metric), "id").join(queries.select("qid", F.col("vec").alias("q")), "qid")
+    return join.ranked(found.select("qid", F.col("id").cast("long").alias("id"), "vec", "q").mapInArrow(exact, FOUND), k)
 
 
 @dataclass
-class IVF:
+class IVF(Stored):
     """Inverted lists: the nprobe lists with the nearest centres are read; nprobe = nlist is exact."""
 
+    ROWS = "members"
     metric: str = "l2"
     nlist: int = 128
     nprobe: int = 64
@@ -151,6 +201,7 @@ class IVF:
     members: DataFrame | None = field(default=None, repr=False)
 
     def build(self, points: DataFrame, path: str | None = None) -> IVF:
+        """With a path the lists are written there in their order, and a query reads the files of those it probes."""
         data = _prepared(points, self.metric)
         n = points.count()
         self.nlist = max(1, min(self.nlist, n))
@@ -158,8 +209,8 @@ class IVF:
         self.centers = balls.train_centers(data, self.nlist, spherical=_metric(self.metric) == "cosine")
         self.members = balls.assign(data, self.centers)
         if path:
-            self.members.write.mode("overwrite").partitionBy("ball_id").parquet(path)
-            self.members = points.sparkSession.read.parquet(path)
+            self.members = keep.clustered(self.members, "ball_id", "id", n, f"{path}/rows")
+        self._save(path, points.sparkSession)
         return self
 
     def _lists(self, q: np.ndarray) -> DataFrame:
@@ -171,17 +222,12 @@ class IVF:
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
         return _top(self._lists(_query(q, self.metric)).select("id", distance(F.col("vec"), list(q), self.metric).alias("score")), k + extra)
 
-    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
-        if self.members is None:
-            raise RuntimeError("build the index first")
-        metric, qs = self.metric, np.array([_query(q, self.metric) for q in queries])
-        near = [_nearest_lists(self.centers, q, self.nprobe) for q in qs]
-
-        def scores(b):
-            ball = np.asarray(b.column(2))
-            return (np.where(np.isin(ball, own), s, np.inf) for s, own in zip(_exact(b, qs, metric), near))
-
-        return _ranked(_best(self.members.select("id", "vec", "ball_id"), scores, k), k)
+    def batch(self, queries: DataFrame | Sequence[Sequence[float]], k: int) -> DataFrame:
+        """(qid, id, score, rank): queries and lists meet by a join, each in pieces of bounded size."""
+        members = self._rows()
+        asked = _to_lists(as_queries(members, queries, self.metric), self.centers, self.nprobe)
+        points = members.select(F.col("ball_id").alias("group"), "id", "vec")
+        return join.ranked(join.meet(points, asked, join.nearest_in(_metric(self.metric), k), FOUND), k)
 
 
 def _codebooks(x: np.ndarray, m: int, nbits: int) -> np.ndarray:
@@ -196,14 +242,6 @@ def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([balls.nearest(x[:, j * width : (j + 1) * width], b) for j, b in enumerate(books)], axis=1).astype(np.int16)
 
 
-def _kept(df: DataFrame, path: str | None, *by: str) -> DataFrame:
-    """df itself, or, with a path, written there once and read from there by every query."""
-    if not path:
-        return df
-    (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _coded(points: DataFrame, books: np.ndarray, centers: np.ndarray | None) -> DataFrame:
     """(id, ball_id, code): of the vectors, or of what is left of them at their list's centre."""
 
@@ -225,72 +263,100 @@ def fitting_blocks(d: int, m: int) -> int:
 
 
 @dataclass
-class PQ:
+class PQ(Stored):
     """Product codes, scored by the distance to what they stand for; lists > 1 puts inverted lists before them (residual codes).
-    At least nprobe lists are read, and as many more as the best of a query in the training sample lie in: the share that is enough
-    depends on the table and on the query. wide > 0: the wide nearest by codes are ordered by their exact distances."""
+    wide > 0: the wide nearest by codes are ordered by their exact distances. reach: how many lists are read, at least nprobe, is
+    chosen once, so that of the best ten of HELD_OUT rows that the centres have not seen, this share is in the lists read."""
 
+    ROWS = "codes"
     metric: str = "l2"
     m: int = 100
     nbits: int = 8
     nlist: int = 1
     nprobe: int = 1
     wide: int = 0
+    reach: float | None = None
+    train_rows: int = balls.TRAIN_ROWS
     codes: DataFrame | None = field(default=None, repr=False)
     points: DataFrame | None = field(default=None, repr=False)
 
     def build(self, points: DataFrame, path: str | None = None) -> PQ:
-        """With a path the codes are written there by list, and queries read only the lists they probe."""
+        """Trained on at most train_rows rows and half the table. With a path the codes are written there in the order of the
+        lists, and queries read the files of those they probe."""
         self.points, data = points, _prepared(points, self.metric)
-        x = np.array([r["vec"] for r in sampling.sample(data, balls.TRAIN_ROWS).select("vec").collect()], float)
+        n = points.count()
+        train = max(1, min(self.train_rows, n - n // 2))
+        drawn = sampling.sample(data, train + min(HELD_OUT, n // 8)).collect()
+        x = np.array([r["vec"] for r in drawn[:train]], float).reshape(min(train, len(drawn)), -1)
         self.m = fitting_blocks(x.shape[1], self.m)
         self.nbits = max(1, min(self.nbits, int(np.log2(max(2, len(x))))))
-        self.nlist = max(1, min(self.nlist, len(x)))
+        self.nlist = max(1, min(self.nlist, len(x) // 4))
+        self.nprobe = min(self.nprobe, self.nlist)
         self.centers = balls.lloyd(x, self.nlist) if self.nlist > 1 else np.zeros((1, x.shape[1]))
-        self.sample, self.sample_lists = x, balls.nearest(x, self.centers)
-        self.books = _codebooks(x - self.centers[self.sample_lists], self.m, self.nbits)
-        self.codes = _kept(_coded(balls.assign(data, self.centers), self.books, self.centers), path, "ball_id")
+        self.books = _codebooks(x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
+        self.codes = _coded(balls.assign(data, self.centers), self.books, self.centers)
+        if path:
+            self.codes = keep.clustered(self.codes, "ball_id", "id", n, f"{path}/rows")
+        if self.reach and self.nlist > 1:
+            self.nprobe = self._enough(drawn[train:], data)
+        self._save(path, points.sparkSession)
         return self
 
+    def _enough(self, held: list, data: DataFrame, k: int = 10) -> int:
+        """The fewest lists, nprobe at least, in which the share `reach` of the held-out rows' best k lie on average."""
+        if not held:
+            return self.nlist
+        vecs = {i: np.array(r["vec"], float) for i, r in enumerate(held)}
+        exact = flat_batch(data, [v.tolist() for v in vecs.values()], k + 1, "l2")  # prepared rows: at most HELD_OUT * (k + 1) come back
+        lists = exact.join(self.codes.select("id", "ball_id"), "id").select("qid", "id", "ball_id").collect()
+        place = {i: np.argsort(_nearest_lists(self.centers, v, self.nlist)) for i, v in vecs.items()}
+        ranks = sorted(int(place[r["qid"]][r["ball_id"]]) for r in lists if r["id"] != held[r["qid"]]["id"])
+        at = min(len(ranks) - 1, int(np.ceil(self.reach * len(ranks))))
+        return max(self.nprobe, min(self.nlist, ranks[at] + 1 if ranks else self.nlist))
+
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
         if self.codes is None:
             raise RuntimeError("build the index first")
         x, size = _query(q, self.metric), max(k + extra, self.wide)
-        near = [self._probed(x, k + extra)]
-        found = _top(_best(self.codes.filter(F.col("ball_id").isin(near[0].tolist())), self._scores(x[None, :], near), size).select("id", "score"), size)
+        near = _nearest_lists(self.centers, x, self.nprobe).tolist()
+        decoded = _decoder(self.books, self.centers)
+        scores = lambda b: [np.sqrt(((decoded(b.column("ball_id"), b.column("code")) - x) ** 2).sum(axis=1))]
+        found = _top(_best(self.codes.filter(F.col("ball_id").isin(near)), scores, size).select("id", "score"), size)
         return rerank(found, self.points, q, self.metric, k + extra) if self.wide else found
 
-    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
-        if self.codes is None:
-            raise RuntimeError("build the index first")
-        qs, size = np.array([_query(q, self.metric) for q in queries]), max(k, self.wide)
-        found = _ranked(_best(self.codes, self._scores(qs, [self._probed(q, k) for q in qs]), size), size)
-        return _reordered(found, self.points, qs, self.metric, k) if self.wide else found
+    def batch(self, queries: DataFrame | Sequence[Sequence[float]], k: int) -> DataFrame:
+        """(qid, id, score, rank), as IVF.batch."""
+        rows = self._rows()
+        size, asked = max(k, self.wide), as_queries(rows, queries, self.metric)
+        decoded = _decoder(self.books, self.centers)
+
+        def fn(p: pa.Table, q: pa.Table) -> pa.Table:
+            x, y = decoded(p["group"], p["code"]), join.vectors(q["vec"])
+            own, other = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            scores = lambda lo, hi: np.sqrt(np.maximum(own + other[lo:hi, None] - 2 * y[lo:hi] @ x.T, 0))
+            return join.best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, size)
 
-    def _probed(self, q: np.ndarray, k: int) -> np.ndarray:
-        """The nearest nprobe lists, or more, up to the last that holds one of the best 4 k of the training sample: by rank, that
-        leaves out about one in 4 k + 1 of the table's best."""
-        order = _nearest_lists(self.centers, q, len(self.centers))
-        best = np.argsort(((self.sample - q) ** 2).sum(axis=1), kind="stable")[: 4 * k]
-        return order[: max(1, self.nprobe, int(np.flatnonzero(np.isin(order, self.sample_lists[best])).max(initial=0)) + 1)]
+        codes = rows.select(F.col("ball_id").alias("group"), "id", "code")
+        found = join.ranked(join.meet(codes, _to_lists(asked, self.centers, self.nprobe), fn, FOUND), size)
+        return _reordered(found, self.points, asked, _metric(self.metric), k) if self.wide else found
 
-    def _scores(self, qs: np.ndarray, near: list[np.ndarray]):
-        """Distances to what the codes stand for, in each query's lists."""
-        books, centers = self.books, self.centers
 
-        def scores(b):
-            ball, code = np.asarray(b.column("ball_id")), np.asarray(b.column("code").flatten()).reshape(b.num_rows, -1)
-            x = centers[ball] + np.concatenate([book[code[:, j]] for j, book in enumerate(books)], axis=1)
-            return (np.where(np.isin(ball, own), np.sqrt(((x - q) ** 2).sum(axis=1)), np.inf) for q, own in zip(qs, near))
+def _decoder(books: np.ndarray, centers: np.ndarray):
+    """What codes of a list stand for."""
 
-        return scores
+    def decoded(ball: pa.ChunkedArray, code: pa.ChunkedArray) -> np.ndarray:
+        code = join.vectors(code).astype(int)
+        return centers[np.asarray(ball)] + np.concatenate([book[code[:, j]] for j, book in enumerate(books)], axis=1)
+
+    return decoded
 
 
 @dataclass
-class SignHash:
+class SignHash(Stored):
     """Bits of random projections' signs, packed 63 to a long; Hamming distance. wide > 0: the wide nearest by it (at least those
     asked for) are ordered by their exact distances, which are then the scores."""
 
+    ROWS = "codes"
     metric: str = "cosine"
     nbits: int = 2048
     seed: int = 5
@@ -313,7 +379,10 @@ class SignHash:
                     arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)), pa.array(w.ravel()))
                     yield pa.RecordBatch.from_arrays([b.column(0), arrays], names=["id", "bits"])
 
-        self.codes = _kept(data.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, bits array<long>"), path)
+        self.codes = data.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, bits array<long>")
+        if path:
+            self.codes = keep.written(self.codes, f"{path}/rows")
+        self._save(path, points.sparkSession)
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
@@ -325,20 +394,21 @@ class SignHash:
         near = _top(self.codes.select("id", h.cast("double").alias("score")), max(k + extra, self.wide))
         return rerank(near, self.points, q, self.metric, k + extra) if self.wide else near
 
-    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
-        if self.codes is None:
-            raise RuntimeError("build the index first")
-        metric, qs, size = self.metric, np.array([_query(q, self.metric) for q in queries]), max(k, self.wide)
-        own = _packed(qs @ self.planes >= 0)
+    def batch(self, queries: DataFrame | Sequence[Sequence[float]], k: int) -> DataFrame:
+        """(qid, id, score, rank): every query meets all codes, both in pieces."""
+        codes = self._rows()
+        size, asked, planes = max(k, self.wide), as_queries(codes, queries, self.metric), self.planes
 
-        def scores(b):
-            w = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            return (np.bitwise_count(w ^ x).sum(axis=1).astype(float) for x in own)
+        def fn(p: pa.Table, q: pa.Table) -> pa.Table:
+            bits = p["bits"].combine_chunks()
+            w = np.asarray(bits.flatten()).reshape(len(bits), -1)
+            own = _packed(join.vectors(q["vec"]) @ planes >= 0)
+            scores = lambda lo, hi: (np.bitwise_count(w ^ x).sum(axis=1).astype(float) for x in own[lo:hi])
+            return join.best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, size)
 
-        near = _ranked(_best(self.codes, scores, size), size)
-        if not self.wide:
-            return near
-        return _reordered(near, self.points, qs, metric, k)
+        everywhere = F.lit(0).alias("group")
+        near = join.ranked(join.meet(codes.select(everywhere, "id", "bits"), asked.select(everywhere, "qid", "vec"), fn, FOUND), size)
+        return _reordered(near, self.points, asked, _metric(self.metric), k) if self.wide else near
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -416,10 +486,11 @@ class _Graph:
 
 
 @dataclass
-class Graph:
+class Graph(Stored):
     """A neighbour graph for each part of about part_rows points, searched in its own task; the parts' best are merged.
     pq_m > 0: the graph stands over vectors rebuilt from product codes."""
 
+    ROWS = "data"
     metric: str = "l2"
     m: int = 32
     ef_construction: int = 40
@@ -445,28 +516,38 @@ class Graph:
             if books is not None:
                 code = _encode(x, books)
                 x = np.concatenate([b[code[:, j]] for j, b in enumerate(books)], axis=1)
-            return pa.table({"graph": pa.array([pickle.dumps((np.asarray(t["id"], np.int64), _Graph(x, m, ef)))], pa.binary())})
+            return pa.table({"part": t["part"][:1], "graph": pa.array([pickle.dumps((np.asarray(t["id"], np.int64), _Graph(x, m, ef)))], pa.binary())})
 
-        part = F.expr(f"pmod(xxhash64(id), {self.parts})")
-        self.data = _kept(data.select(F.col("id").cast("long"), "vec").groupBy(part.alias("part")).applyInArrow(run, "graph binary"), path)
+        part = F.expr(f"cast(pmod(xxhash64(id), {self.parts}) AS int)").alias("part")
+        self.data = data.select(part, F.col("id").cast("long"), "vec").groupBy("part").applyInArrow(run, "part int, graph binary")
+        if path:
+            self.data = keep.written(self.data, f"{path}/rows")
+        self._save(path, points.sparkSession)
         return self
 
     def knn(self, q: Sequence[float], k: int, extra: int = EXTRA) -> DataFrame:
-        return _top(self._found([q], k + extra).select("id", "score"), k + extra)
-
-    def batch(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
-        return _ranked(self._found(queries, k), k)
-
-    def _found(self, queries: Sequence[Sequence[float]], k: int) -> DataFrame:
         if self.data is None:
             raise RuntimeError("build the index first")
-        qs = [_query(q, self.metric) for q in queries]
+        x, size = _query(q, self.metric), k + extra
 
         def run(batches):
             for b in batches:
-                for blob in b.column(0):
+                for blob in b.column("graph"):
                     ids, graph = pickle.loads(blob.as_buffer())
-                    found = [(i, ids[j], float(np.sqrt(d))) for i, q in enumerate(qs) for d, j in graph.knn(q, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["qid", "id", "score"])
+                    found = graph.knn(x, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[j]) for _, j in found], pa.int64()), pa.array([float(np.sqrt(d)) for d, _ in found], pa.float64())], names=["id", "score"])
+
+        return _top(self.data.mapInArrow(run, "id long, score double"), size)
+
+    def batch(self, queries: DataFrame | Sequence[Sequence[float]], k: int) -> DataFrame:
+        """(qid, id, score, rank): every query searches every part's graph."""
+        data = self._rows()
+
+        def fn(p: pa.Table, q: pa.Table) -> pa.Table:
+            ids, graph = pickle.loads(p["graph"][0].as_buffer())
+            found = [(i, int(ids[j]), float(np.sqrt(d))) for i, x in zip(q["qid"].to_pylist(), join.vectors(q["vec"])) for d, j in graph.knn(x, k)]
+            return pa.table({c: pa.array([f[i] for f in found], kind) for i, (c, kind) in enumerate((("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())))})
 
-        return self.data.mapInArrow(run, "qid int, id long, score double")
+        graphs = data.select(F.col("part").alias("group"), F.col("part").alias("id"), "graph")
+        asked = as_queries(data, queries, self.metric).select("qid", "vec", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("group"))
+        return join.ranked(join.meet(graphs, asked, fn, FOUND), k)
