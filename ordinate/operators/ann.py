@@ -275,17 +275,17 @@ class PQ(Stored):
     nlist: int = 1
     nprobe: int = 1
     wide: int = 0
-    reach: float | None = None
-    train_rows: int = balls.TRAIN_ROWS
+    reach: float | None = 0.95
+    train_rows: int | None = None
     codes: DataFrame | None = field(default=None, repr=False)
     points: DataFrame | None = field(default=None, repr=False)
 
     def build(self, points: DataFrame, path: str | None = None) -> PQ:
-        """Trained on at most train_rows rows and half the table. With a path the codes are written there in the order of the
+        """Trained on at most train_rows (balls.TRAIN_ROWS) rows and half the table. With a path the codes are written there in the order of the
         lists, and queries read the files of those they probe."""
         self.points, data = points, _prepared(points, self.metric)
         n = points.count()
-        train = max(1, min(self.train_rows, n - n // 2))
+        train = max(1, min(self.train_rows or balls.TRAIN_ROWS, n - n // 2))
         drawn = sampling.sample(data, train + min(HELD_OUT, n // 8)).collect()
         x = np.array([r["vec"] for r in drawn[:train]], float).reshape(min(train, len(drawn)), -1)
         self.m = fitting_blocks(x.shape[1], self.m)
