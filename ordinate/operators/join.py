@@ -30,17 +30,20 @@ def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
-def meet(points: DataFrame, queries: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, points_rows: int = POINTS, query_rows: int = QUERIES) -> DataFrame:
+def meet(points: DataFrame, queries: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, points_rows: int = POINTS, query_rows: int = QUERIES, once: bool = False) -> DataFrame:
     """fn(points, queries) of every group: points (group, id, ...) and queries (group, qid, ...) of equal group. A group of more
     points, or that more queries come to, is dealt in slices and chunks, each slice meeting each chunk in a task of its own, so
-    what a task holds is bounded on both sides. Groups that no query comes to are not shuffled."""
+    what a task holds is bounded on both sides. Groups that no query comes to are not shuffled. once: a query meets one slice,
+    by a hash, and not all."""
+    points = points.select(*(F.col(c).alias(c) for c in points.columns))  # both may come from one table
     count = lambda df, rows: df.groupBy("group").agg(F.ceil(F.count("*") / rows).cast("int").alias("deal"))
     deal = keep.stored(count(points, points_rows).withColumnRenamed("deal", "slices").join(count(queries, query_rows).withColumnRenamed("deal", "chunks"), "group"))
     known = F.broadcast(deal)  # a row a group
     part = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = points.join(known, "group").withColumn("slice", part("id", F.col("slices"))).withColumn("chunk", all_of("chunks")).drop("slices", "chunks")
-    asked = queries.join(known, "group").withColumn("chunk", part("qid", F.col("chunks"))).withColumn("slice", all_of("slices")).drop("slices", "chunks")
+    of = F.pmod(F.xxhash64("qid", F.lit(7)), F.col("slices")).cast("int") if once else all_of("slices")
+    asked = queries.join(known, "group").withColumn("chunk", part("qid", F.col("chunks"))).withColumn("slice", of).drop("slices", "chunks")
     by = ["group", "slice", "chunk"]
 
     def run(p: pa.Table, q: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a written file, about; tables of fewer rows have fewer files.
+#: Rows of a written file, about.
 FILE_ROWS = 262_144
 
 
@@ -43,10 +43,21 @@ def clustered(df: DataFrame, by: str, then: str, rows: int, path: str | None = N
     return written(df.repartitionByRange(parts, by, then).sortWithinPartitions(by, then), path)
 
 
-def bytes_read(df: DataFrame) -> int:
-    """Bytes of the files that a plan's scans are left with once filters on their columns have chosen row groups by file."""
+def parted(df: DataFrame, by: list[str], rows: int, file_rows: int = FILE_ROWS, path: str | None = None) -> DataFrame:
+    """df with `part`, its range in the order of `by`, of some file_rows rows each, stored in a folder a part: a list of parts is
+    then all that is read."""
+    if not rows:
+        return written(df.withColumn("part", F.lit(0)), path)
+    path = path or f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(max(1, -(-rows // file_rows)), *by).sortWithinPartitions(*by)
+    ranged.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the rows of a stored table, or of a choice of its folders, come from."""
     spark, total = df.sparkSession, 0
-    for name in df.select(F.input_file_name().alias("f")).distinct().collect():
-        at = spark._jvm.org.apache.hadoop.fs.Path(name["f"])
+    for row in df.select(F.input_file_name().alias("name")).distinct().collect():
+        at = spark._jvm.org.apache.hadoop.fs.Path(row["name"])
         total += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
     return total

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import ann, balls, cells, hierarchy, join, keep, klevel, metrics, prep, ranges, rank, sampling
+from ordinate.operators import ann, balls, cells, hierarchy, join, keep, klevel, metrics, prep, ranges, rank, sampling, tree
 from ordinate.sources import points as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -749,6 +749,45 @@ def hierarchy_stripe(spark, d):
     return hierarchy.Hierarchy.build(_emb(spark, d)).stripe(W4, -0.1000003, 0.2000003).select("id", F.round("score", 6).alias("score"))
 
 
+@query(_EMB_STRIPE)
+def ball_tree_stripe(spark, d):
+    """By balls of several levels whose number follows the table's rows."""
+    return tree.BallTree.build(_emb(spark, d), fan=8, top=16).stripe(W4, -0.1000003, 0.2000003).select("id", F.round("score", 6).alias("score"))
+
+
+def _share(level: str) -> str:
+    return f"(SELECT count(*) FROM embeddings WHERE {sampling.hashed_sql('vec_id')} < 4294967296 // CAST(4 ** {level} AS BIGINT))"
+
+
+@query(f"""WITH s AS (SELECT l.level - 1 AS level, {_share('l.level')} AS nodes FROM range(1, 12) l(level)), top AS (SELECT min(level) AS top FROM s WHERE nodes <= 16)
+SELECT level::INTEGER AS level, nodes, (SELECT count(*) FROM embeddings) AS n, true AS held FROM s, top WHERE level <= top""")
+def ball_tree_levels(spark, d):
+    """The levels' nodes, the points under them, and whether every ball holds what is under it."""
+    t = tree.BallTree.build(_emb(spark, d), fan=4, top=16)
+    held = t.check()
+    return metrics.concat(*(x.agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).select(F.lit(level).alias("level"), "nodes", "n", F.lit(held).alias("held")) for level, x in enumerate(t.levels)))
+
+
+@query(_BOX)
+def partition_tree_box(spark, d):
+    """By cells of bounded rows, split where the points are."""
+    return tree.PartitionTree.build(_part(spark, d), PC, leaf_rows=64).box((10, 950.0), (30, 1400.0)).select("id", *PC)
+
+
+@query(_STRIPE)
+def partition_tree_stripe(spark, d):
+    return tree.PartitionTree.build(_part(spark, d), PC, leaf_rows=64).stripe(W2, *_SLAB).select("id", _score(W2))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS over, true AS held FROM orders")
+def partition_tree_leaves(spark, d):
+    """Points of the orders' tree, its leaves of over 256 rows that could be split, and whether boxes and counts hold."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
+    t = tree.PartitionTree.build(o, ["o_totalprice", "day"], leaf_rows=256)
+    parts = (F.col("lo_o_totalprice") < F.col("hi_o_totalprice")) | (F.col("lo_day") < F.col("hi_day"))
+    return t.leaves.agg(F.sum("n").alias("n"), F.count_if((F.col("n") > 256) & parts).alias("over")).withColumn("held", F.lit(t.check()))
+
+
 @query("SELECT k, true AS held FROM (VALUES (1), (20), (100)) t(k)")
 def hierarchy_candidates(spark, d):
     """Whether the candidates of rank k hold the row that a scan finds there."""
