@@ -222,37 +222,140 @@ def _leaf(tree, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class PartitionTree:
-    """leaves (cell, n, lo_c, hi_c, first, last) and members (the points with cell and part). A cell's name is its way down, two
-    hexadecimal digits for each round of splitting."""
+    """leaves (cell, n, lo_c, hi_c, first, last) and members (the points with cell and part; first = last, as a leaf lies whole in
+    one part). A cell's name is its way down, two hexadecimal digits for each round of splitting, so the nodes above a leaf are
+    the beginnings of its name. rewritten and appended count the parts that the last insert wrote anew or added rows to."""
 
     members: DataFrame
     leaves: DataFrame
     columns: list[str]
+    id_column: str
+    leaf_rows: int
+    file_rows: int
+    path: str
+    seed: int = 42
+    turns: int = 0
+    rewritten: int = 0
+    appended: int = 0
 
     @classmethod
     def build(cls, df: DataFrame, columns: Sequence[str], id_column: str = "id", leaf_rows: int = SAMPLE, path: str | None = None, file_rows: int = keep.FILE_ROWS, seed: int = 42) -> PartitionTree:
         """All cells of over leaf_rows rows are split at once, round by round, each by a tree of cuts over a bounded sample of
         its own rows into up to CELLS cells. A cell whose sampled rows no cut parts is split no further once all its rows are
         equal; else by other samples. Points with a null coordinate are left out."""
-        columns = list(columns)
-        data = df.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in columns)).withColumn("cell", F.lit(""))
-        done, state, turn = [], keep.stored(data), 0
+        own = cls(df, df, list(columns), id_column, leaf_rows, file_rows, path or f"{keep.shared_dir(df.sparkSession)}/tree-{uuid.uuid4().hex}", seed)
+        out, own.turns = own._grown(own._clean(df).withColumn("cell", F.lit("")), 0)
+        own._write(out, 0, "overwrite")
+        own._publish(own._stats(own.members))
+        return own
+
+    def _clean(self, df: DataFrame) -> DataFrame:
+        return df.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in self.columns))
+
+    def _grown(self, state: DataFrame, turn: int) -> tuple[DataFrame, int]:
+        """state with the names of its cells, split until none has over leaf_rows rows that differ."""
+        done, state = [], keep.stored(state)
         while True:
-            ends = [F.when(F.min(c) < F.max(c), F.struct(F.lit(i).alias("at"), F.min(c).cast("double").alias("least"))) for i, c in enumerate(columns)]
+            ends = [F.when(F.min(c) < F.max(c), F.struct(F.lit(i).alias("at"), F.min(c).cast("double").alias("least"))) for i, c in enumerate(self.columns)]
             counts = state.groupBy("cell").agg(F.count("*").alias("rows"), F.coalesce(*ends).alias("cut"))
-            open_cells = keep.stored(counts.filter(F.col("cut").isNotNull() & (F.col("rows") > leaf_rows)))
+            open_cells = keep.stored(counts.filter(F.col("cut").isNotNull() & (F.col("rows") > self.leaf_rows)))
             if open_cells.isEmpty():
                 done.append(state)
                 break
             done.append(state.join(F.broadcast(open_cells.select("cell")), "cell", "left_anti"))
             rest = state.join(F.broadcast(open_cells), "cell")
-            state, turn = keep.stored(cls._split(rest, columns, id_column, leaf_rows, seed + 1000 * turn)), turn + 1
+            state, turn = keep.stored(self._split(rest, self.columns, self.id_column, self.leaf_rows, self.seed + 1000 * turn)), turn + 1
         out = done[0]
         for x in done[1:]:
             out = out.unionByName(x)
-        members = keep.parted(out, ["cell", id_column], out.count(), file_rows, path and f"{path}/members")
-        leaves = members.groupBy("cell").agg(F.count("*").alias("n"), *(f(c).alias(f"{s}_{c}") for c in columns for s, f in (("lo", F.min), ("hi", F.max))), F.min("part").alias("first"), F.max("part").alias("last"))
-        return cls(members, keep.written(leaves, path and f"{path}/leaves"), columns)
+        return out, turn
+
+    def _write(self, rows: DataFrame, first: int, mode: str) -> None:
+        """rows into parts numbered from `first`, each of whole leaves in the order of their names. A leaf of more rows than a
+        file (they are all equal) is written by several tasks."""
+        cells = rank.ranked(rows.groupBy("cell").agg(F.count("*").alias("n")), "cell", "n")
+        part = keep.stored(cells.select("cell", (F.lit(first) + F.expr(f"before div {self.file_rows}")).cast("int").alias("part"), F.ceil(F.col("n") / self.file_rows).cast("int").alias("files")))
+        total = rows.count()
+        if not total:
+            self.members = keep.written(rows.withColumn("part", F.lit(0)), f"{self.path}/members")
+            return
+        placed = rows.join(F.broadcast(part), "cell").withColumn("file", F.pmod(F.xxhash64(self.id_column), "files")).drop("files")
+        dealt = placed.repartition(max(1, -(-total // self.file_rows)), "part", "file").sortWithinPartitions("part", "cell").drop("file")
+        dealt.write.mode(mode).partitionBy("part").parquet(f"{self.path}/members")
+        self.members = rows.sparkSession.read.parquet(f"{self.path}/members")
+
+    def _stats(self, rows: DataFrame) -> DataFrame:
+        ends = (f(c).alias(f"{s}_{c}") for c in self.columns for s, f in (("lo", F.min), ("hi", F.max)))
+        return rows.groupBy("cell").agg(F.count("*").alias("n"), *ends, F.min("part").alias("first"), F.max("part").alias("last"))
+
+    def _publish(self, leaves: DataFrame) -> None:
+        """The leaves' table anew, under a name of its own: readers of the one before keep it."""
+        self.leaves = keep.written(leaves, f"{self.path}/leaves-{uuid.uuid4().hex}")
+
+    def insert(self, df: DataFrame) -> PartitionTree:
+        """The tree with more points. Each goes down the nodes to the child whose box it widens least. Leaves that stay within
+        leaf_rows get their rows as further files of their part; the parts of those that overflow are read, split and written
+        under new numbers, and no leaf names the old ones any more, which earlier trees may still read."""
+        rows = keep.stored(self._chosen(self._clean(df)))
+        more = rows.groupBy("cell").agg(F.count("*").alias("m"), *(f(c).alias(f"{s}_{c}") for c in self.columns for s, f in (("l", F.min), ("h", F.max))))
+        grown = self.leaves.join(more, "cell", "full").withColumn("n", F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)))
+        for c in self.columns:
+            grown = grown.withColumn(f"lo_{c}", F.least(f"lo_{c}", f"l_{c}")).withColumn(f"hi_{c}", F.greatest(f"hi_{c}", f"h_{c}"))
+        grown = keep.stored(grown)
+        differ = " OR ".join(f"`lo_{c}` < `hi_{c}`" for c in self.columns)
+        over = (F.col("n") > self.leaf_rows) & F.expr(differ) & F.col("m").isNotNull() | F.col("first").isNull()
+        touched = keep.stored(grown.filter(over).select("first", "last").distinct())
+        moved = keep.stored(grown.join(F.broadcast(touched.select("first")), "first", "left_semi").select("cell").unionByName(grown.filter("first IS NULL").select("cell")))
+        out = PartitionTree(self.members, self.leaves, self.columns, self.id_column, self.leaf_rows, self.file_rows, self.path, self.seed, self.turns)
+        names = self.members.columns
+        stay = rows.join(F.broadcast(moved), "cell", "left_anti").join(F.broadcast(self.leaves.select("cell", F.col("first").alias("part"))), "cell").select(*names)
+        adds = stay.select("part").distinct().count()
+        kept = grown.join(F.broadcast(moved), "cell", "left_anti").select(*self.leaves.columns)
+        fresh = rows.join(F.broadcast(moved), "cell", "left_semi").select(*(c for c in names if c != "part"))
+        anew = touched.filter("first IS NOT NULL").count()
+        old = _in_parts(self.members, touched.filter("first IS NOT NULL")).join(F.broadcast(touched.select(F.col("first").alias("part"))), "part", "left_semi").drop("part") if anew else None
+        if adds:
+            stay.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/members")
+        if not moved.isEmpty():
+            split, out.turns = out._grown(fresh.unionByName(old) if anew else fresh, self.turns)
+            first = 1 + (self.members.agg(F.max("part")).first()[0] or 0)
+            out._write(split, first, "append")
+            kept = kept.unionByName(out._stats(out.members.filter(F.col("part") >= first)).select(*kept.columns))
+        else:
+            out.members = df.sparkSession.read.parquet(f"{self.path}/members")
+        out._publish(kept)
+        out.rewritten, out.appended = anew, adds
+        return out
+
+    def _chosen(self, df: DataFrame) -> DataFrame:
+        """df with the leaf that each point goes to. From the root down, a point meets the children of its node, up to CELLS."""
+        names, columns = df.columns, self.columns
+        state = df.withColumn("cell", F.lit(""))
+        deep = (self.leaves.agg(F.max(F.length("cell"))).first()[0] or 0) // 2
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+        def chosen(p: pa.Table, q: pa.Table) -> pa.Table:
+            lo, hi = (np.stack([np.asarray(p[f"{s}_{c}"], float) for c in columns], axis=1) for s in ("lo", "hi"))
+            x = np.stack([np.asarray(q[c].cast(pa.float64()), float) for c in columns], axis=1)
+            order = np.lexsort((np.array(p["cell"].to_pylist()), (hi - lo).sum(axis=1)))
+            lo, hi, cells = lo[order], hi[order], np.array(p["cell"].to_pylist())[order]
+            own = []
+            for at in range(0, len(x), 4096):
+                y = x[at : at + 4096, None, :]
+                own.append((np.maximum(lo - y, 0) + np.maximum(y - hi, 0)).sum(axis=2).argmin(axis=1))
+            return pa.table({**{n: q[n] for n in names}, "cell": pa.array(cells[np.concatenate(own)].tolist(), pa.string())})
+
+        for level in range(deep):
+            name, above = F.left("cell", F.lit(2 * level + 2)), F.left("cell", F.lit(2 * level))
+            boxes = [f(f"{s}_{c}").alias(f"{s}_{c}") for c in columns for s, f in (("lo", F.min), ("hi", F.max))]
+            nodes = self.leaves.filter(F.length("cell") > 2 * level).groupBy(above.alias("group"), name.alias("name")).agg(*boxes)
+            children = keep.stored(nodes.withColumnRenamed("name", "cell").withColumn("id", F.xxhash64("cell")))
+            state = keep.stored(state)
+            inner = children.select("group").distinct()
+            asked = state.withColumnRenamed("cell", "group").withColumn("qid", F.xxhash64(self.id_column))
+            down = join.meet(children, asked, chosen, f"{kinds}, cell string", query_rows=4 * join.POINTS)
+            state = down.unionByName(state.join(F.broadcast(inner.withColumnRenamed("group", "cell")), "cell", "left_anti").select(*names, "cell"))
+        return state
 
     @staticmethod
     def _split(rest: DataFrame, columns: list[str], id_column: str, leaf_rows: int, seed: int) -> DataFrame:
@@ -303,7 +406,7 @@ class PartitionTree:
         return _in_parts(self.members, leaves)
 
     def _in(self, leaves: DataFrame, residual: Column) -> DataFrame:
-        near = self.read(leaves).join(leaves.select("cell", "whole"), "cell").filter(F.col("whole") | residual)
+        near = self.read(leaves).join(leaves.select("cell", F.col("first").alias("part"), "whole"), ["cell", "part"]).filter(F.col("whole") | residual)
         return near.select(*self.members.columns)
 
     def stripe(self, w: Sequence[float], lo: float, hi: float) -> DataFrame:
@@ -316,6 +419,6 @@ class PartitionTree:
 
     def check(self) -> bool:
         """Every point is inside its leaf's box, and the leaves count all points."""
-        joined = self.members.join(self.leaves, "cell")
+        joined = self.members.join(self.leaves.withColumn("part", F.col("first")), ["cell", "part"])
         out = joined.filter(" OR ".join(f"`{c}` < `lo_{c}` OR `{c}` > `hi_{c}`" for c in self.columns))
-        return out.isEmpty() and (self.leaves.agg(F.sum("n")).first()[0] or 0) == self.members.count()
+        return out.isEmpty() and (self.leaves.agg(F.sum("n")).first()[0] or 0) == joined.count()

@@ -75,3 +75,27 @@ def test_cells_that_no_sample_parts(spark, monkeypatch):
     t = tree.PartitionTree.build(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], leaf_rows=100)
     assert t.check() and sorted(r["n"] for r in t.leaves.collect()) == [1, 3000]
     assert tree.PartitionTree.build(spark.createDataFrame([], "id long, a double, b double"), ["a", "b"]).box([0.0, 0.0], [1.0, 1.0]).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [50, 700])
+def test_inserts_equal_the_scan_after_each(spark, leaf):
+    x = np.round(cloud(4000, 2, leaf), 2)
+    x[3000:] += 5  # the last batch lies elsewhere
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    t = tree.PartitionTree.build(df.filter("id < 1500"), ["a", "b"], leaf_rows=leaf, file_rows=400)
+    first, lo, hi = t, [-1.0, 6.0], [9.5, 15.0]
+    inside = lambda n: np.flatnonzero(((x[:n] >= lo) & (x[:n] <= hi)).all(axis=1)).tolist()
+    for a, z in ((1500, 1510), (1510, 3000), (3000, 4000)):
+        parts = t.leaves.select("first").distinct().count()
+        t = t.insert(df.filter(f"id >= {a} AND id < {z}"))
+        assert sorted(r["id"] for r in t.box(lo, hi).collect()) == inside(z) and t.stripe([1.0, 1.0], -1e9, 1e9).count() == z
+        assert t.check() and t.leaves.filter(f"n > {leaf} AND (lo_a < hi_a OR lo_b < hi_b)").isEmpty()
+        assert t.rewritten <= parts and (a > 1500 or t.rewritten + t.appended <= 10 and t.rewritten < parts)
+    assert sorted(r["id"] for r in first.box(lo, hi).collect()) == inside(1500)  # the tree of before is still whole
+
+
+def test_insert_into_an_empty_tree(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 1.0) for i in range(90)], "id long, a double, b double")
+    t = tree.PartitionTree.build(df.limit(0), ["a", "b"], leaf_rows=30).insert(df)
+    assert t.box([2.0, 0.0], [3.0, 2.0]).count() == sum(i % 7 in (2, 3) for i in range(90)) and t.check()
+    assert t.insert(df.limit(0)).check()
