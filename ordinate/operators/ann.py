@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import balls, join, keep, sampling
+from ordinate.operators import balls, join, keep, kmeans, sampling
 
 EXTRA = 10
 #: Rows that are kept out of the centres' training, by which the number of lists to read is chosen.
@@ -121,7 +121,7 @@ def as_queries(points: DataFrame, queries: DataFrame | Sequence[Sequence[float]]
 
 
 def _to_lists(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFrame:
-    """queries (qid, vec), once for each of the nprobe lists (group) with the nearest centres."""
+    """queries (qid, vec), once for each of the nprobe lists (group) with the nearest centres, in their order (place)."""
     shared = queries.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
@@ -132,7 +132,19 @@ def _to_lists(queries: DataFrame, centers: np.ndarray, nprobe: int) -> DataFrame
             groups = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, n, dtype=np.int32)), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), groups], names=["qid", "vec", "groups"])
 
-    return queries.mapInArrow(run, "qid long, vec array<double>, groups array<int>").select("qid", "vec", F.explode("groups").alias("group"))
+    return queries.mapInArrow(run, "qid long, vec array<double>, groups array<int>").select("qid", "vec", F.posexplode("groups").alias("place", "group"))
+
+
+def _in_lists(points: DataFrame, asked: DataFrame, fn, k: int, nprobe: int) -> DataFrame:
+    """(qid, id, score, rank): the best k of each query in its lists. The first eighth of them give a k-th score, and of the others
+    only what is no worse is sent on."""
+    near = max(1, nprobe // 8)
+    first = keep.stored(join.ranked(join.meet(points, asked.filter(F.col("place") < near).drop("place"), fn, FOUND), k))
+    if near >= nprobe:
+        return first
+    limit = first.filter(F.col("rank") == k).select("qid", F.col("score").alias("limit"))
+    rest = asked.filter(F.col("place") >= near).drop("place").join(limit, "qid", "left")
+    return join.ranked(first.drop("rank").unionByName(join.meet(points, rest, fn, FOUND)), k)
 
 
 class Stored:
@@ -191,12 +203,14 @@ def _reordered(near: DataFrame, points: DataFrame, queries: DataFrame, metric: s
 
 @dataclass
 class IVF(Stored):
-    """Inverted lists: the nprobe lists with the nearest centres are read; nprobe = nlist is exact."""
+    """Inverted lists: the nprobe lists with the nearest centres are read; nprobe = nlist is exact. passes: how often the centres,
+    which a bounded sample gives, are moved to the means of all rows."""
 
     ROWS = "members"
     metric: str = "l2"
     nlist: int = 128
     nprobe: int = 64
+    passes: int = 0
     centers: np.ndarray | None = None
     members: DataFrame | None = field(default=None, repr=False)
 
@@ -206,7 +220,9 @@ class IVF(Stored):
         n = points.count()
         self.nlist = max(1, min(self.nlist, n))
         self.nprobe = min(self.nprobe, self.nlist)
-        self.centers = balls.train_centers(data, self.nlist, spherical=_metric(self.metric) == "cosine")
+        round_ones = _metric(self.metric) == "cosine"
+        self.centers = balls.train_centers(data, self.nlist, spherical=round_ones)
+        self.centers = kmeans.refined(data, self.centers, self.passes, round_ones)[0]
         self.members = balls.assign(data, self.centers)
         if path:
             self.members = keep.clustered(self.members, "ball_id", "id", n, f"{path}/rows")
@@ -227,7 +243,7 @@ class IVF(Stored):
         members = self._rows()
         asked = _to_lists(as_queries(members, queries, self.metric), self.centers, self.nprobe)
         points = members.select(F.col("ball_id").alias("group"), "id", "vec")
-        return join.ranked(join.meet(points, asked, join.nearest_in(_metric(self.metric), k), FOUND), k)
+        return _in_lists(points, asked, join.nearest_in(_metric(self.metric), k), k, self.nprobe)
 
 
 def _codebooks(x: np.ndarray, m: int, nbits: int) -> np.ndarray:
@@ -266,7 +282,8 @@ def fitting_blocks(d: int, m: int) -> int:
 class PQ(Stored):
     """Product codes, scored by the distance to what they stand for; lists > 1 puts inverted lists before them (residual codes).
     wide > 0: the wide nearest by codes are ordered by their exact distances. reach: how many lists are read, at least nprobe, is
-    chosen once, so that of the best ten of HELD_OUT rows that the centres have not seen, this share is in the lists read."""
+    chosen once, so that of the best ten of HELD_OUT rows that the centres have not seen, this share is in the lists read. passes:
+    how often the lists' centres are moved to the means of all other rows."""
 
     ROWS = "codes"
     metric: str = "l2"
@@ -277,6 +294,7 @@ class PQ(Stored):
     wide: int = 0
     reach: float | None = 0.95
     train_rows: int | None = None
+    passes: int = 0
     codes: DataFrame | None = field(default=None, repr=False)
     points: DataFrame | None = field(default=None, repr=False)
 
@@ -293,6 +311,9 @@ class PQ(Stored):
         self.nlist = max(1, min(self.nlist, len(x) // 4))
         self.nprobe = min(self.nprobe, self.nlist)
         self.centers = balls.lloyd(x, self.nlist) if self.nlist > 1 else np.zeros((1, x.shape[1]))
+        if self.passes and self.nlist > 1:
+            rest = data.filter(~F.col("id").isin([r["id"] for r in drawn[train:]])) if drawn[train:] else data
+            self.centers = kmeans.refined(rest, self.centers, self.passes)[0]
         self.books = _codebooks(x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
         self.codes = _coded(balls.assign(data, self.centers), self.books, self.centers)
         if path:
@@ -334,10 +355,10 @@ class PQ(Stored):
             x, y = decoded(p["group"], p["code"]), join.vectors(q["vec"])
             own, other = (x * x).sum(axis=1), (y * y).sum(axis=1)
             scores = lambda lo, hi: np.sqrt(np.maximum(own + other[lo:hi, None] - 2 * y[lo:hi] @ x.T, 0))
-            return join.best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, size)
+            return join.best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, size, limit=join.limits(q))
 
         codes = rows.select(F.col("ball_id").alias("group"), "id", "code")
-        found = join.ranked(join.meet(codes, _to_lists(asked, self.centers, self.nprobe), fn, FOUND), size)
+        found = _in_lists(codes, _to_lists(asked, self.centers, self.nprobe), fn, size, self.nprobe)
         return _reordered(found, self.points, asked, _metric(self.metric), k) if self.wide else found
 
 

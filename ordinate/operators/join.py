@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import balls, keep
+from ordinate.operators import balls, keep, rank
 
 #: Points of a group that a task holds, query rows that meet them at once, and the most groups (their bounds are broadcast).
 POINTS, QUERIES, MOST_GROUPS = 16_384, 8_192, 100_000
@@ -52,9 +51,10 @@ def meet(points: DataFrame, queries: DataFrame, fn: Callable[[pa.Table, pa.Table
     return own.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, schema)
 
 
-def best(qid: np.ndarray, ids: np.ndarray, scores: Callable[[int, int], np.ndarray], k: int, exact: Callable[[int, np.ndarray], np.ndarray] | None = None, block: int = 256) -> pa.Table:
+def best(qid: np.ndarray, ids: np.ndarray, scores: Callable[[int, int], np.ndarray], k: int, exact: Callable[[int, np.ndarray], np.ndarray] | None = None, limit: np.ndarray | None = None, block: int = 256) -> pa.Table:
     """(qid, id, score): each query's k least, ties to the smaller id. scores(lo, hi): those of the queries lo .. hi - 1, one row
-    each; infinite ones are left out. exact(query, places): what decides among those that come near the k-th."""
+    each; infinite ones are left out. exact(query, places): what decides among those that come near the k-th. limit: what scores
+    may be at most, as others are known that are no greater."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo in range(0, len(qid), block):
         for i, s in enumerate(scores(lo, min(lo + block, len(qid))), lo):
@@ -62,6 +62,8 @@ def best(qid: np.ndarray, ids: np.ndarray, scores: Callable[[int, int], np.ndarr
             if len(near) > k:
                 near = near[s[near] <= np.partition(s[near], k - 1)[k - 1] + (1e-9 * (1 + np.abs(s[near]).max()) if exact else 0)]
             own = exact(i, near) if exact else s[near]
+            if limit is not None:
+                near, own = near[own <= limit[i]], own[own <= limit[i]]
             order = np.lexsort((ids[near], own))[:k]
             out.append((np.full(len(order), qid[i]), ids[near[order]], own[order]))
     cols = [np.concatenate(c) if out else np.zeros(0) for c in zip(*out)] if out else [np.zeros(0)] * 3
@@ -81,11 +83,16 @@ def nearest_in(metric: str, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def exact(i: int, at: np.ndarray) -> np.ndarray:
             return 1 - (x[at] * y[i]).sum(axis=1) if metric == "cosine" else np.sqrt(((x[at] - y[i]) ** 2).sum(axis=1))
 
-        return best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, k, exact)
+        return best(np.asarray(q["qid"]), np.asarray(p["id"]), scores, k, exact, limits(q))
 
     return fn
 
 
+def limits(q: pa.Table) -> np.ndarray | None:
+    """The queries' limits, where they have any."""
+    return np.asarray(q["limit"].fill_null(math.inf), float) if "limit" in q.column_names else None
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): each query's best k of (qid, id, score); ranks are limited before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
@@ -124,15 +131,9 @@ class PivotIndex:
                     far = np.sqrt(((x - c[cell]) ** 2).sum(axis=1))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "vec", "cell", "far"])
 
-        def numbered(batches):
-            for b in batches:
-                group = np.full(b.num_rows, TaskContext.get().partitionId(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(group), *b.columns], names=["group", *b.schema.names])
-
-        kinds = "id long, vec array<double>, cell int, far double"
-        groups = max(1, min(MOST_GROUPS, -(-n // rows)))
-        ranged = data.mapInArrow(placed, kinds).repartitionByRange(groups, "cell", "far", "id")
-        table = keep.written(ranged.mapInArrow(numbered, f"group int, {kinds}"), path)
+        step = max(rows, -(-n // MOST_GROUPS))
+        placed_rows = data.mapInArrow(placed, "id long, vec array<double>, cell int, far double")
+        table = rank.numbered(placed_rows, ["cell", "far", "id"], -(-n // keep.FILE_ROWS), path).withColumn("group", F.expr(f"cast(ord div {step} AS int)"))
         rings = table.groupBy("group", "cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).orderBy("group", "cell")
         pieces = np.array([tuple(r) for r in rings.collect()], float).reshape(-1, 4)  # at most MOST_GROUPS + MOST_BALLS rows
         return cls(table, centers, pieces, metric)
@@ -159,9 +160,10 @@ class PivotIndex:
         return bounds
 
     def _routed(self, queries: DataFrame, others: bool) -> DataFrame:
-        """queries (qid, vec, theta) with `groups`: the nearest group, or all others that may hold a point within theta."""
+        """queries (qid, vec, limit) with `groups`: the nearest group, or all others that may hold a point within the limit."""
         shared = queries.sparkSession.sparkContext.broadcast(self)
         names = np.unique(self.pieces[:, 0]).astype(np.int32)
+        cosine = self.metric == "cosine"
 
         def run(batches):
             bounds = shared.value._bounds()
@@ -171,16 +173,17 @@ class PivotIndex:
                     least = bounds(vectors(rows.column("vec")))
                     home = least.argmin(axis=1)
                     if others:
-                        theta = np.asarray(rows.column("theta").fill_null(math.inf), float)
+                        limit = np.asarray(rows.column("limit").fill_null(math.inf), float)
+                        theta = np.sqrt(np.maximum(2 * limit, 0)) if cosine else limit  # of unit vectors, 1 - cos is half the squared distance
                         hit = least <= theta[:, None]
                         hit[np.arange(len(home)), home] = False
                     else:
                         hit = np.arange(len(names)) == home[:, None]
                     ends = np.r_[0, np.cumsum(hit.sum(axis=1))].astype(np.int32)
                     groups = pa.ListArray.from_arrays(pa.array(ends), pa.array(names[np.nonzero(hit)[1]]))
-                    yield pa.RecordBatch.from_arrays([rows.column("qid"), rows.column("vec"), groups], names=["qid", "vec", "groups"])
+                    yield pa.RecordBatch.from_arrays([rows.column("qid"), rows.column("vec"), rows.column("limit"), groups], names=["qid", "vec", "limit", "groups"])
 
-        return queries.select("qid", "vec", "theta").mapInArrow(run, "qid long, vec array<double>, groups array<int>")
+        return queries.select("qid", "vec", "limit").mapInArrow(run, "qid long, vec array<double>, limit double, groups array<int>")
 
     def __getstate__(self):
         return {"pivots": self.pivots, "pieces": self.pieces, "metric": self.metric, "points": None}
@@ -188,15 +191,13 @@ class PivotIndex:
     def _rounds(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """What the queries find in their nearest groups, and the queries with the other groups that they still go to."""
         own = prepared(queries, "qid", self.metric).groupBy("qid").agg(F.min("vec").alias("vec"))
-        asked = keep.stored(own.withColumn("theta", F.lit(None).cast("double")))
+        asked = keep.stored(own.withColumn("limit", F.lit(None).cast("double")))
         first = keep.stored(self._met(self._routed(asked, others=False), k))
-        theta = ranked(first, k).filter(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
-        if self.metric == "cosine":  # unit vectors: 1 - cos is half the squared distance
-            theta = theta.withColumn("theta", F.sqrt(F.greatest(2 * F.col("theta"), F.lit(0.0))))
-        return first, keep.stored(self._routed(asked.drop("theta").join(theta, "qid", "left"), others=True))
+        limit = ranked(first, k).filter(F.col("rank") == k).select("qid", F.col("score").alias("limit"))
+        return first, keep.stored(self._routed(asked.drop("limit").join(limit, "qid", "left"), others=True))
 
     def _met(self, routed: DataFrame, k: int) -> DataFrame:
-        return meet(self.points.select("group", "id", "vec"), routed.select("qid", "vec", F.explode("groups").alias("group")), nearest_in(self.metric, k), "qid long, id long, score double")
+        return meet(self.points.select("group", "id", "vec"), routed.select("qid", "vec", "limit", F.explode("groups").alias("group")), nearest_in(self.metric, k), "qid long, id long, score double")
 
     def join(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, id, score, rank): the k nearest points of every query (qid, vec), exactly; ties go to the smaller id, and all

@@ -7,11 +7,14 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import sampling
+from ordinate.operators import keep, sampling
 
 #: Up to this k a top-k merge is cheaper than two passes.
 DIRECT_K = 50_000
@@ -194,3 +197,21 @@ def ranked(df: DataFrame, by: str, weight: str, parts: int = 64) -> DataFrame:
     inner = F.sum(weight).over(Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
     offset = F.create_map(*shift)[F.col("__p")] if shift else F.lit(0)
     return placed.withColumn("before", F.coalesce(inner, F.lit(0)) + offset).drop("__p")
+
+
+def numbered(df: DataFrame, by: Sequence[str], parts: int, path: str | None = None) -> DataFrame:
+    """df with `ord`, its rows' places from 0 in the order of `by` (which tells rows apart). Ranges of rows are numbered each in
+    its task and stored; what a range starts with is the number of rows in those before it."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(n, n + b.num_rows))], names=[*b.schema.names, "range", "own"])
+            n += b.num_rows
+
+    ranged = df.repartitionByRange(max(1, parts), *by).sortWithinPartitions(*by)
+    table = keep.written(ranged.mapInArrow(run, f"{kinds}, range int, own long"), path)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = table.groupBy("range").count().select("range", before.alias("before"))  # a row a range
+    return table.join(F.broadcast(starts), "range").withColumn("ord", F.col("before") + F.col("own")).drop("range", "own", "before")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
-from ordinate.operators import ann, balls, cells, hierarchy, join, keep, klevel, metrics, prep, ranges, rank, sampling, tree
+from ordinate.operators import ann, balls, cells, farthest, hierarchy, join, keep, kmeans, klevel, metrics, prep, ranges, rank, sampling, tree
 from ordinate.sources import points as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,6 +788,49 @@ def partition_tree_leaves(spark, d):
     return t.leaves.agg(F.sum("n").alias("n"), F.count_if((F.col("n") > 256) & parts).alias("over")).withColumn("held", F.lit(t.check()))
 
 
+@query(_BOX)
+def partition_tree_inserts(spark, d):
+    """A quarter of the parts built, the others inserted in three batches."""
+    p = _part(spark, d)
+    t = tree.PartitionTree.build(p.filter("id % 4 = 0"), PC, leaf_rows=64)
+    for batch in (1, 2, 3):
+        t = t.insert(p.filter(f"id % 4 = {batch}"))
+    return t.box((10, 950.0), (30, 1400.0)).select("id", *PC)
+
+
+_C5 = "(VALUES " + ", ".join(f"({j}, [{', '.join(map(repr, c))}]::DOUBLE[])" for j, c in enumerate(_CENTERS)) + ") t(j, c)"
+
+
+@query(f"""WITH e AS ({_E}), a1 AS (SELECT id, vec, arg_min(j, list_distance(vec, c)) AS j FROM e, {_C5} GROUP BY id, vec),
+m1 AS (SELECT j, list(x ORDER BY i) AS c FROM (SELECT j, i, avg(x) AS x FROM (SELECT j, unnest(range(1, 65)) AS i, unnest(vec) AS x FROM a1) GROUP BY j, i) GROUP BY j),
+c1 AS (SELECT t.j, coalesce(m1.c, t.c) AS c FROM {_C5} LEFT JOIN m1 ON m1.j = t.j),
+a2 AS (SELECT id, vec, arg_min(j, list_distance(vec, c)) AS j, min(list_distance(vec, c)) AS s FROM e, c1 GROUP BY id, vec)
+SELECT j AS center, count(*) AS n, round(sum(vec[1]), 6) AS first, (SELECT round(sum(s * s), 4) FROM a2) AS cost FROM a2 GROUP BY j""")
+def kmeans_passes(spark, d):
+    """The second pass over all rows from five fixed centres: the points of each centre, their sum, and the cost."""
+    import numpy as np
+
+    e = _emb(spark, d)
+    n, sums, cost = kmeans.sums_of(e, kmeans.refined(e, np.array(_CENTERS), 1)[0])
+    return spark.createDataFrame([(j, int(n[j]), round(float(sums[j][0]), 6), round(cost, 4)) for j in range(len(n)) if n[j]], "center int, n long, first double, cost double")
+
+
+@query(f"""WITH p AS (SELECT label, a.id AS a, b.id AS b, list_distance(a.vec, b.vec) AS s FROM (SELECT label, vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) a JOIN (SELECT label, vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings) b USING (label) WHERE a.id < b.id)
+SELECT label, a, b, round(s, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, a, b) AS r FROM p) WHERE r = 1""")
+def farthest_pairs(spark, d):
+    """The two vectors of each label that are farthest from each other."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    return farthest.farthest_pairs(e, "label").withColumn("distance", F.round("distance", 6))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey AS id, p_size * 7.31 AS x, p_retailprice AS y FROM part), q AS (SELECT a.p_brand, a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS s FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id < b.id)
+SELECT p_brand, round(max(s), 6) AS distance FROM q GROUP BY p_brand""")
+def farthest_parts(spark, d):
+    """How far the parts of each brand are apart, by size and price."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", V.as_vec(F.col("p_size") * 7.31, F.col("p_retailprice")).alias("vec"))
+    return farthest.farthest_pairs(p, "p_brand", ball_rows=256).select("p_brand", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT k, true AS held FROM (VALUES (1), (20), (100)) t(k)")
 def hierarchy_candidates(spark, d):
     """Whether the candidates of rank k hold the row that a scan finds there."""
