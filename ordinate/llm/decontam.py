@@ -3,7 +3,8 @@ scanned once, and hits are mapped back to words and to offsets in the original t
 
 The automaton's patterns are the items cut into runs of 7 words (all of an item of under 13 words). Any 13 words of an item
 hold one such run whole, so no window is missed, and the automaton is as long as the items and not 13 times that. Where a run
-is found, the words on both sides are compared with the item's: 13 or more that agree are windows.
+is found, the words on both sides are compared with the item's: 13 or more that agree are windows. Of a run that many items have,
+the windows round it are kept in a table, so that a hit takes as many look-ups as windows can lie round it, however many items.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ordinate.llm import common as C
 
 WINDOW, SHARE = 13, 20
+#: Places of a run that are compared one by one; a run of more places goes by its windows.
+PLACES = 8
 #: Bytes of benchmark text whose runs go into one automaton (about 50 bytes of memory each). A larger benchmark has several; they
 #: take turns over the same rows, HELD_BYTES of text at a time, so documents are still read once and a worker holds one of them.
 AUTOMATON_BYTES, HELD_BYTES = 8 << 20, 64 << 20
@@ -46,11 +49,25 @@ class Matcher:
             for at in range(0, len(w) - n + 1, n):
                 runs.setdefault(b" ".join(w[at : at + n]), []).append((k, at))
         self.auto = ahocorasick.Automaton()
+        self.windows: dict[bytes, list[int]] = {}
         for run, places in runs.items():
-            self.auto.add_word(f" {run.decode('latin-1')} ", (run.count(b" ") + 1, places))
+            n, crowded = run.count(b" ") + 1, len(places) > PLACES
+            if crowded:
+                self._keep_windows(places)
+                places = [(k, at) for k, at in places if len(items[k][1]) < width]  # one at most: an item that is this run
+            self.auto.add_word(f" {run.decode('latin-1')} ", (n, places, crowded))
         if len(self.auto):
             self.auto.make_automaton()
 
+    def _keep_windows(self, places: list[tuple[int, int]]) -> None:
+        """The windows that hold a run whole at these places, each with the items that have it."""
+        for k, at in places:
+            w = self.items[k][1]
+            for lo in range(max(0, at - self.width + self.run), min(at, len(w) - self.width) + 1):
+                own = self.windows.setdefault(b" ".join(w[lo : lo + self.width]), [])
+                if not own or own[-1] != k:
+                    own.append(k)
+
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """(runs of hit words, items of which a window occurs) of a text's words."""
         spans: list[tuple[int, int]] = []
@@ -58,12 +75,21 @@ class Matcher:
         if not len(self.auto) or not w:
             return spans, found
         normal = f" {b' '.join(w).decode('latin-1')} "
-        raw = [(end, n, places) for end, (n, places) in self.auto.iter(normal)]
+        raw = [(end, *value) for end, value in self.auto.iter(normal)]
         if not raw:
             return spans, found
         after = np.cumsum(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32) - 1  # words that end before a byte
-        for end, n, places in raw:
+        seen: set[int] = set()
+        known: set[int] = set()
+        for end, n, places, crowded in raw:
             stop = int(after[end])
+            for lo in range(max(0, stop - self.width), min(stop - n, len(w) - self.width) + 1) if crowded else ():
+                if lo not in seen and (own := self.windows.get(b" ".join(w[lo : lo + self.width]))):
+                    spans.append((lo, lo + self.width))
+                    if id(own) not in known:
+                        known.add(id(own))
+                        found.update(own)
+                seen.add(lo)
             for k, at in places:
                 lo, hi = self._grown(w, stop - n, stop, self.items[k][1], at) if n == self.run else (stop - n, stop)
                 if hi - lo >= min(self.width, len(self.items[k][1])):
