@@ -59,6 +59,11 @@ class SortedLists:
         self.read = len(tops) * min(self.n, depth)
         return reduce(DataFrame.unionByName, tops)
 
+    def _guess(self, k: int) -> int:
+        """The depth at which k ids stand in all of so many lists whose orders have nothing to do with each other."""
+        m = len(self.lists)
+        return max(1, min(self.n, max(k, round(self.n ** ((m - 1) / m) * k ** (1 / m)))))
+
     def _scored(self, seen: DataFrame, w: Sequence[float]) -> DataFrame:
         """seen (id, first) with its scores, by a look-up of the ids: few of them are named, more are joined."""
         few = [r["id"] for r in seen.select("id").limit(NAMED + 1).collect()]
@@ -71,8 +76,9 @@ class SortedLists:
 
     def fagin(self, w: Sequence[float], k: int) -> DataFrame:
         """(id, score, depth): lists are read until k ids stand in all of them; all ids seen are scored. k beyond the rows gives the
-        last row."""
-        k, depth = min(k, self.n), min(self.n, max(k, 16))
+        last row. Reading starts with the depth that independent lists have and is doubled where that is too little."""
+        k = min(k, self.n)
+        depth = self._guess(k)
         while True:
             tops = self._tops(w, depth)
             seen = tops.groupBy("id").agg(F.count("*").alias("lists"), F.max("ord").alias("last"), F.min("ord").alias("first"))
@@ -87,7 +93,8 @@ class SortedLists:
         """(id, score, depth): reading stops at the first rank at which k of the ids seen score at least what the lists' values
         there add up to. An id counts from the later of two ranks on: where it is first seen, and where the threshold falls to
         its score, which is one more than the number of thresholds above it; the k-th least of these is where reading stops."""
-        k, depth = min(k, self.n), min(self.n, max(k, 16))
+        k = min(k, self.n)
+        depth = max(k, self._guess(k) // 2)
         while True:
             tops = self._tops(w, depth)
             seen = keep.stored(self._scored(keep.stored(tops.groupBy("id").agg(F.min("ord").alias("first"))), w))

@@ -809,6 +809,14 @@ def partition_tree_inserts(spark, d):
     return t.box((10, 950.0), (30, 1400.0)).select("id", *PC)
 
 
+@query("SELECT doc_id AS id, n_chars FROM documents WHERE n_chars BETWEEN 500 AND 1500 AND doc_id BETWEEN 100 AND 40000")
+def partition_tree_documents(spark, d):
+    """Documents by length and number: half of them built, half inserted."""
+    p = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.col("doc_id").alias("number"))
+    t = tree.PartitionTree.build(p.filter("id % 2 = 0"), ["n_chars", "number"], leaf_rows=1024, file_rows=16_384).insert(p.filter("id % 2 <> 0"))
+    return t.box((500, 100), (1500, 40000)).select("id", "n_chars")
+
+
 _C5 = "(VALUES " + ", ".join(f"({j}, [{', '.join(map(repr, c))}]::DOUBLE[])" for j, c in enumerate(_CENTERS)) + ") t(j, c)"
 
 
