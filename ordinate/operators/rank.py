@@ -71,6 +71,68 @@ def _narrowed(s: DataFrame, column: str, k: int, n: int, eps: float, most: int)
     return lo, hi, below, held
 
 
+#: Weights that one scan serves.
+WEIGHTS = 64
+
+
+def kth_many(df: DataFrame, columns: Sequence[str], weights: Sequence[tuple[int, Sequence[float], int]], id_column: str = "id", most: int = 4 * DIRECT_K, accuracy: int = 10_000) -> DataFrame:
+    """(wid, id, score): for every (wid, weights, k) the k-th largest by its linear score, ties by id (numeric). WEIGHTS of them share
+    each scan: one for the sketches of all their scores, mergeable and good to n / accuracy ranks, and one to count what
+    lies below and inside the intervals that the sketches give, which certifies them; both again within the intervals until each
+    has at most `most` rows or one score. As a round leaves some 4 / accuracy of the rows, two do for any table. Then one scan takes
+    what is inside. Rows with a null coordinate are left out; a k beyond the rows raises IndexError."""
+    out = []
+    for at in range(0, len(weights), WEIGHTS):
+        out.append(_kth_block(df.dropna(subset=list(columns)), columns, weights[at : at + WEIGHTS], id_column, most, accuracy))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _kth_block(df: DataFrame, columns: Sequence[str], weights: Sequence[tuple[int, Sequence[float], int]], id_column: str, most: int, accuracy: int) -> DataFrame:
+    cols = [F.col(c) for c in columns]
+    score = [V.dot(cols, w) for _, w, _ in weights]
+    first = df.agg(F.count("*").alias("n"), *(f(s).alias(f"{name}{j}") for j, s in enumerate(score) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    n = first["n"]
+    if any(not 1 <= k <= n for _, _, k in weights):
+        raise IndexError(f"a k is beyond the {n} rows")
+    # [lo, hi, rows below, rows inside, k-th smallest] of each weight
+    state = [[first[f"lo{j}"], first[f"hi{j}"], 0, n, n - k + 1] for j, (_, _, k) in enumerate(weights)]
+    while todo := [j for j, (lo, hi, _, held, _) in enumerate(state) if held > most and lo != hi]:
+        inside = {j: score[j].between(*state[j][:2]) for j in todo}
+        width = {j: max(2 / accuracy, 2 / state[j][3]) for j in todo}
+        share = {j: (state[j][4] - state[j][2]) / state[j][3] for j in todo}
+        ends = df.agg(*(F.percentile_approx(F.when(inside[j], score[j]), [max(0.0, share[j] - width[j]), min(1.0, share[j]), min(1.0, share[j] + width[j])], accuracy) for j in todo)).first()
+        asked = []
+        for j, (a, mid, z) in zip(todo, ends):
+            s = F.when(inside[j], score[j])
+            asked += [F.count_if(s < a), F.count_if(s.between(a, z)), F.count_if(s < mid), F.count_if(s == mid), F.max(F.when(s < mid, s)), F.min(F.when(s > mid, s))]
+        counts = df.agg(*(x.alias(f"c{i}") for i, x in enumerate(asked))).first()
+        for i, (j, (a, mid, z)) in enumerate(zip(todo, ends)):
+            under, within, less, same, down, up = counts[6 * i : 6 * i + 6]
+            _, _, below, held, kth = state[j]
+            if below + under < kth <= below + under + within and within <= held / 2:
+                state[j][:4] = [a, z, below + under, within]
+            elif kth <= below + less:
+                state[j][1], state[j][3] = down, less
+            elif kth <= below + less + same:
+                state[j][:4] = [mid, mid, below + less, same]
+            else:
+                state[j][0], state[j][2], state[j][3] = up, below + less + same, held - less - same
+    rows = F.array(*(F.when(score[j].between(lo, hi), F.struct(F.lit(weights[j][0]).cast("long").alias("wid"), score[j].alias("score"), F.lit(n - below - held).alias("above"))) for j, (lo, hi, below, held, _) in enumerate(state) if held <= most))
+    few = df.select(F.col(id_column), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.wid", id_column, "r.score", "r.above") if any(s[3] <= most for s in state) else None
+    out = []
+    if few is not None:
+        ks = F.create_map(*(F.lit(x) for wid, _, k in weights for x in (wid, k)))
+        place = F.row_number().over(Window.partitionBy("wid").orderBy(F.desc("score"), id_column))  # at most `most` rows each
+        out.append(few.withColumn("place", place + F.col("above")).filter(F.col("place") == ks[F.col("wid").cast("int")]).select("wid", id_column, "score"))
+    for (wid, _, k), s, (lo, hi, below, held, _) in zip(weights, score, state):
+        if held > most:  # one score: ids decide
+            tied = df.filter(s == lo).select(F.col(id_column))
+            a, z, before, _ = _narrowed(tied, id_column, k - (n - below - held), held, 0.01, most)
+            near = tied.filter(F.col(id_column).between(a, z)).orderBy(id_column).offset(k - (n - below - held) - before - 1).limit(1)
+            out.append(near.select(F.lit(wid).cast("long").alias("wid"), id_column, F.lit(lo).alias("score")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _lists(df: DataFrame, parts: Sequence[Column], depth: int, id_column: str) -> DataFrame:
     """(id, list, rank, part) of the `depth` best rows of each part; ranks are over those only."""
     out = []

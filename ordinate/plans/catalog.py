@@ -269,6 +269,18 @@ def kth_certified_ties(spark, d):
     return _r(rank.kth_certified(e, F.col("value"), e.count() // 2, direct=100))
 
 
+_MANY = [(j, (round(math.cos(j * 0.37), 3) * 20, round(math.sin(j * 0.37), 3)), 2 + j % 7) for j in range(50)]
+
+
+@query(f"""WITH w(wid, a, b, part) AS (VALUES {', '.join(f"({j}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {part})" for j, w, part in _MANY)})
+SELECT wid, id, round(s, 6) AS score FROM (SELECT wid::BIGINT AS wid, p_partkey AS id, part, p_size * a + p_retailprice * b AS s, row_number() OVER (PARTITION BY wid ORDER BY p_size * a + p_retailprice * b DESC, p_partkey) AS r FROM part, w) WHERE r = (SELECT count(*) FROM part) // part""")
+def kth_many(spark, d):
+    """The row at rank n / 2 .. n / 8 by each of fifty weights."""
+    p = _part(spark, d)
+    n = p.count()
+    return rank.kth_many(p, PC, [(j, w, n // part) for j, w, part in _MANY], most=100).select("wid", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH s AS (SELECT {_SP} AS s, row_number() OVER (ORDER BY {sampling.hashed_sql('p_partkey')}, p_partkey) AS h FROM part), m AS (SELECT s, row_number() OVER (ORDER BY s DESC) - 1 AS r FROM s WHERE h <= 100), n AS (SELECT count(*) AS n FROM part)
 SELECT round((SELECT s FROM m, n WHERE r = least(99, ceil(((n // 4)::DOUBLE / n + 0.05) * 100))), 6) AS lo, round((SELECT s FROM m, n WHERE r = greatest(0, floor(((n // 4)::DOUBLE / n - 0.05) * 100))), 6) AS hi""")
 def find_stripe(spark, d):

@@ -29,8 +29,7 @@ def plain(x, w, k):
     return best, score[best], fagin, len(x)
 
 
-@pytest.mark.parametrize("w", [(1.0, 2.0, 0.5), (1.0, -3.0, 0.25)])
-@pytest.mark.parametrize("k", [1, 7, 150])
+@pytest.mark.parametrize("w, k", [((1.0, 2.0, 0.5), 7), ((1.0, -3.0, 0.25), 1), ((1.0, -3.0, 0.25), 150)])
 def test_depths_and_rows(spark, w, k):
     rng = np.random.default_rng(k)
     x = rng.integers(0, 40, (500, 3)).astype(float) + (rng.integers(0, 2, (500, 1)) if k == 7 else 0)

@@ -20,7 +20,7 @@ def cloud(n, d, seed):
     return x
 
 
-@pytest.mark.parametrize("fan, top", [(4, 16), (8, 1024), (32, 4)])
+@pytest.mark.parametrize("fan, top", [(4, 16), (8, 1024)])
 def test_ball_tree(spark, tmp_path, fan, top):
     x = cloud(2500, 6, fan)
     points = vectors(spark, x)
@@ -77,7 +77,7 @@ def test_cells_that_no_sample_parts(spark, monkeypatch):
     assert tree.PartitionTree.build(spark.createDataFrame([], "id long, a double, b double"), ["a", "b"]).box([0.0, 0.0], [1.0, 1.0]).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [50, 700])
+@pytest.mark.parametrize("leaf", [60])
 def test_inserts_equal_the_scan_after_each(spark, leaf):
     x = np.round(cloud(4000, 2, leaf), 2)
     x[3000:] += 5  # the last batch lies elsewhere
