@@ -60,6 +60,12 @@ def stored_anew(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled and merged. Estimates do not know that an Arrow function makes many
+    rows of one, nor how far a file unpacks, and would have the driver build and broadcast such a table."""
+    return df.hint("merge")
+
+
 def id_key(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NULL_ID))
 

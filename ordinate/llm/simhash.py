@@ -171,7 +171,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> Data
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
     # a cell over the limit is cut into blocks by a hash; each pair of blocks is a task's work of its own
     blocks = F.ceil(F.col("n") / (cell // 2)).cast("int")
-    known = dealt.join(sizes, "cell").withColumn("k", F.when(F.col("n") <= cell, 1).otherwise(blocks))
+    known = dealt.join(C.unbounded(sizes), "cell").withColumn("k", F.when(F.col("n") <= cell, 1).otherwise(blocks))
     known = known.withColumn("own", F.expr("cast(pmod(xxhash64(fp), k) AS int)"))
     pairs = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pairs = pairs.select("cell", "k", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -244,7 +244,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, n: int, salts: int =
     salt = F.expr(f"cast(pmod(xxhash64({', '.join(left.columns)}), {salts}) AS int)")
     a = left.join(often, key, "left").withColumn("__salt", F.when(F.col("__often"), salt).otherwise(0)).drop("__often")
     b = right.join(often, key, "left").withColumn("__salt", F.explode(F.when(F.col("__often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__often")
-    return a.join(b, [key, "__salt"], "left").drop("__salt")
+    return a.join(C.unbounded(b), [key, "__salt"], "left").drop("__salt")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     linked = root.count()
     named = C.stored(looked_up(nodes, root.withColumnRenamed("id", "fp"), "fp", linked).select("fp", "first", F.coalesce("root", "fp").alias("root")))
     # fingerprints without a link are their own component; the others' is the least of their root
-    first = C.stored(named.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("component")))
+    first = C.stored(named.join(C.unbounded(root.select("root").distinct()), "root", "left_semi").groupBy("root").agg(F.min("first").alias("component")))
     to = C.stored(looked_up(named, first, "root", first.count()).select("fp", F.coalesce("component", "first").alias("component")))
     # rows of one fingerprint, however many, meet one row here
     out = looked_up(marked, to, "fp", to.count())

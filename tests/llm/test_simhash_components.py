@@ -66,3 +66,14 @@ def test_large_lookups_are_not_broadcast(spark):
         assert "rightHint=(strategy=broadcast)" not in plan.split("__salt")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """By their estimates, which are small here, all of these joins would be."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('w', id, ' end of ', id * id) AS text")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    prints = simhash.fingerprints(docs).select("fp").distinct()
+    assert "BroadcastHashJoin" not in plan(simhash.links(prints)) and "SortMergeJoin" in plan(simhash.links(prints))
+    many = simhash.FEW + 1
+    found = plan(simhash.looked_up(docs.withColumnRenamed("text", "k"), docs.select(docs.text.alias("k"), docs.doc_id.alias("v")), "k", many))
+    assert found.count("SortMergeJoin") == 1 and found.count("BroadcastHashJoin") == 2  # the frequent keys alone, for either side
