@@ -9,7 +9,7 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordinate.functions import vectors as V
@@ -157,12 +157,23 @@ def radius_search(spark, d):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size = b.p_size AND abs(a.p_retailprice - b.p_retailprice) <= 2.000003")
 def radius_join(spark, d):
-    """Fixed-radius neighbours of one size: equal sizes and neighbouring price buckets meet, then the exact test."""
-    r = 2.000003
-    p = _part(spark, d).withColumn("bucket", F.floor(F.col("p_retailprice") / r).cast("long"))
-    a = p.select(F.col("id").alias("a"), "p_size", F.col("p_retailprice").alias("x"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = p.select(F.col("id").alias("b"), "p_size", F.col("p_retailprice").alias("y"), "bucket")
-    return a.join(b, ["p_size", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= r)).select("a", "b")
+    """Fixed-radius neighbours of one size: points that differ meet once, each with its ids in rows of bounded lists; only pairs that
+    are near are made from the lists, so the work is that of the result."""
+    r, ids = 2.000003, 1024
+    w = Window.partitionBy("p_size", "p_retailprice").orderBy("id")
+    p = _part(spark, d).withColumn("part", F.floor((F.row_number().over(w) - 1) / ids))
+    p = p.groupBy("p_size", "p_retailprice", "part").agg(F.collect_list("id").alias("ids"))
+    # buckets wider than r by more than rounding: a price and one that is up to r above it are in the same or in neighbouring ones
+    p = p.withColumn("bucket", F.floor(F.col("p_retailprice") / (1.001 * r)).cast("long"))
+    a = p.select("p_size", F.col("p_retailprice").alias("x"), F.col("part").alias("m"), F.col("ids").alias("own"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    b = p.select("p_size", F.col("p_retailprice").alias("y"), F.col("part").alias("n"), F.col("ids").alias("others"), "bucket")
+    # a stated number is not coalesced: these tables are small, what they become is not
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (t.repartition(n, "p_size", "bucket") for t in (a, b))
+    met = a.join(b.hint("merge"), ["p_size", "bucket"]).filter((F.abs(F.col("x") - F.col("y")) <= r) & ((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("m") <= F.col("n")))))
+    one = ((F.col("x") == F.col("y")) & (F.col("m") == F.col("n"))).alias("one")
+    pairs = met.select(one, F.explode("own").alias("i"), "others").select("one", "i", F.explode("others").alias("j"))
+    return pairs.filter((F.col("i") < F.col("j")) | (~F.col("one") & (F.col("i") > F.col("j")))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 @query("SELECT p_brand, min(p_size) AS lo_p_size, max(p_size) AS hi_p_size, min(p_retailprice) AS lo_p_retailprice, max(p_retailprice) AS hi_p_retailprice, count(*) AS n FROM part GROUP BY p_brand")
