@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; of repeated ids, every row stays."""
     found = near_duplicates(docs, distance).filter("doc_id <=> component_id").select(C.id_key(F.col("doc_id")).alias("__id")).distinct()
-    return docs.withColumn("__id", C.id_key(F.col("doc_id"))).join(found, "__id", "left_semi").drop("__id")
+    return docs.withColumn("__id", C.id_key(F.col("doc_id"))).join(C.unbounded(found), "__id", "left_semi").drop("__id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

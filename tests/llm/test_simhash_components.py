@@ -77,3 +77,9 @@ def test_no_table_that_grows_is_broadcast(spark):
     many = simhash.FEW + 1
     found = plan(simhash.looked_up(docs.withColumnRenamed("text", "k"), docs.select(docs.text.alias("k"), docs.doc_id.alias("v")), "k", many))
     assert found.count("SortMergeJoin") == 1 and found.count("BroadcastHashJoin") == 2  # the frequent keys alone, for either side
+
+
+def test_kept_ids_are_not_broadcast(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('w', id, ' end of ', id * id) AS text")
+    plan = simhash.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__id" in plan and "BroadcastHashJoin [__id" not in plan
