@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -19,6 +18,8 @@ from ordinate.operators import balls, join, keep, kmeans, sampling
 EXTRA = 10
 #: Rows that are kept out of the centres' training, by which the number of lists to read is chosen.
 HELD_OUT = 128
+#: Walks over a graph that go side by side, and the most distances of a table of theirs (fewer walks go over larger parts).
+WALKS, TABLE = 256, 4_194_304
 FOUND = "qid long, id long, score double"
 
 
@@ -440,70 +441,105 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return (padded.reshape(n, words, 63) << np.arange(63)).sum(axis=2)
 
 
+def _merged(far: np.ndarray, items: np.ndarray, row: np.ndarray, item: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (far, items) in ascending order, infinite where empty, with more items put in: each row's least, as many as it had
+    room for, and of equal ones those that came first."""
+    order = np.argsort(row, kind="stable")
+    row, count = row[order], np.bincount(row, minlength=len(far))
+    at = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    more, own = np.full((len(far), count.max(initial=0)), np.inf), np.zeros((len(far), count.max(initial=0)), items.dtype)
+    more[row, at], own[row, at] = dist[order], item[order]
+    far = np.concatenate([far, more], axis=1)
+    least = np.argsort(far, axis=1, kind="stable")[:, : items.shape[1]]
+    return np.take_along_axis(far, least, axis=1), np.take_along_axis(np.concatenate([items, own], axis=1), least, axis=1)
+
+
 class _Graph:
-    """A layered neighbour graph over one part's vectors."""
+    """A layered neighbour graph over one part's vectors. Walks go side by side, a step of all of them at a time, over a table of
+    their distances: a walk meets up to two thirds of a part's points, and one product costs less than what they take singly. Points
+    are put in by batches, each at most a quarter of those before it, which walk the graph as it was and then also see each other."""
 
     def __init__(self, x: np.ndarray, m: int, ef: int, seed: int = 9):
-        self.x, self.m, self.ef = x, m, ef
-        rng = np.random.default_rng(seed)
-        self.level = np.floor(-np.log(np.maximum(rng.random(len(x)), 1e-12)) / np.log(max(2, m))).astype(int)
-        self.links: list[dict[int, list[int]]] = [{} for _ in range(int(self.level.max(initial=0)) + 1)]
-        self.entry = -1
-        for i in range(len(x)):
-            self._insert(i)
-
-    def _far(self, q: np.ndarray, ids: list[int]) -> np.ndarray:
-        return ((self.x[ids] - q) ** 2).sum(axis=1)
-
-    def _search(self, q: np.ndarray, start: int, ef: int, layer: int) -> list[tuple[float, int]]:
-        d = float(self._far(q, [start])[0])
-        seen, todo, best = {start}, [(d, start)], [(-d, start)]
-        while todo:
-            d, i = heapq.heappop(todo)
-            if d > -best[0][0] and len(best) >= ef:
-                break
-            new = [j for j in self.links[layer].get(i, ()) if j not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for e, j in zip(self._far(q, new).tolist(), new):
-                if len(best) < ef or e < -best[0][0]:
-                    heapq.heappush(todo, (e, j))
-                    heapq.heappush(best, (-e, j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
-
-    def _descend(self, q: np.ndarray, upto: int) -> int:
-        at = self.entry
-        for layer in range(int(self.level[self.entry]), upto, -1):
-            at = self._search(q, at, 1, layer)[0][1]
-        return at
-
-    def _insert(self, i: int) -> None:
-        top = int(self.level[i])
-        for layer in range(top + 1):
-            self.links[layer][i] = []
-        if self.entry < 0:
-            self.entry = i
-            return
-        at = self._descend(self.x[i], top)
-        for layer in range(min(top, int(self.level[self.entry])), -1, -1):
-            found = self._search(self.x[i], at, self.ef, layer)
-            most = 2 * self.m if layer == 0 else self.m
-            for _, j in found[: self.m]:
-                self.links[layer][i].append(j)
-                own = self.links[layer][j]
-                own.append(i)
-                if len(own) > most:
-                    order = np.argsort(self._far(self.x[j], own), kind="stable")[:most]
-                    self.links[layer][j] = [own[o] for o in order]
-            at = found[0][1]
-        if top > self.level[self.entry]:
-            self.entry = i
-
-    def knn(self, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        return self._search(q, self._descend(q, 0), max(k, self.ef), 0)[:k] if self.entry >= 0 else []
+        self.x, self.size, self.m, self.ef = x, (x * x).sum(axis=1), m, ef
+        rng, n = np.random.default_rng(seed), len(x)
+        self.level = np.floor(-np.log(np.maximum(rng.random(n), 1e-12)) / np.log(max(2, m))).astype(int)
+        self.links = [np.full((n, m if layer else 2 * m), -1, np.int32) for layer in range(int(self.level.max(initial=0)) + 1)]
+        self.walks = max(1, min(WALKS, TABLE // max(1, n)))
+        self.entry = 0 if n else -1
+        far, done = [np.full(own.shape, np.inf) for own in self.links], min(1, n)
+        while done < n:
+            size = min(self.walks, max(1, done // 4), n - done)
+            self._insert(done, done + size, far)
+            done += size
+
+    def _table(self, q: np.ndarray, rows: int) -> np.ndarray:
+        """Squared distances to the first points; the last column stands for no point."""
+        out = np.full((len(q), rows + 1), np.inf)
+        out[:, :rows] = np.maximum((q * q).sum(axis=1)[:, None] + self.size[:rows] - 2 * q @ self.x[:rows].T, 0)
+        return out
+
+    def _walk(self, table: np.ndarray, start: np.ndarray, ef: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, points) of the ef nearest that each walk meets, ascending; empty places are infinite and -1. What was near
+        enough to be taken becomes infinite in the table, and so is taken once."""
+        every, links = np.arange(len(table)), self.links[layer]
+        far, items = np.full((len(table), ef), np.inf), np.full((len(table), ef), -2)  # twice the point, odd until its links are followed
+        far[:, 0], items[:, 0] = table[every, start], 2 * start + 1
+        table[every, start] = np.inf
+        at = every
+        while True:
+            todo = (items[at] & 1).astype(bool)
+            first = todo.argmax(axis=1)
+            more = todo[np.arange(len(at)), first]
+            at, first = at[more], first[more]
+            if not len(at):
+                return far, items >> 1
+            items[at, first] -= 1
+            to = links[items[at, first] >> 1]
+            dist = table[at[:, None], to]
+            row, place = np.nonzero(dist < far[at, -1:])
+            if len(row):
+                ids, dist = to[row, place].astype(int), dist[row, place]
+                table[at[row], ids] = np.inf
+                far[at], items[at] = _merged(far[at], items[at], row, 2 * ids + 1, dist)
+
+    def _insert(self, lo: int, hi: int, far: list[np.ndarray]) -> None:
+        new, top, highest, ef = np.arange(lo, hi), self.level[lo:hi], int(self.level[self.entry]), max(self.ef, self.m)
+        table, at = self._table(self.x[lo:hi], hi), np.full(hi - lo, self.entry)
+        a, b = np.triu_indices(len(new), 1)
+        mates = table[a, lo + b]
+        for layer in range(max(int(top.max()), highest), -1, -1):
+            own, under = np.flatnonzero(top >= layer), np.flatnonzero(top < layer)
+            near, found = np.full((len(own), ef), np.inf), np.full((len(own), ef), -1)
+            if layer <= highest:
+                at[under] = self._walk(table[under], at[under], 1, layer)[1][:, 0]
+                near[:, : self.ef], found[:, : self.ef] = self._walk(table[own], at[own], self.ef, layer)
+                at[own] = found[:, 0]
+            place, both = np.searchsorted(own, np.arange(len(new))), (top[a] >= layer) & (top[b] >= layer)
+            one, other = a[both], b[both]
+            near, found = _merged(near, found, place[np.r_[one, other]], new[np.r_[other, one]], np.tile(mates[both], 2))
+            row, rank = np.nonzero(found[:, : self.m] >= 0)
+            source, to, dist = new[own[row]], found[row, rank], np.tile(near[row, rank], 2)
+            key, once = np.unique(np.r_[source, to] * len(self.x) + np.r_[to, source], return_index=True)  # links of mates come twice
+            rows, row = np.unique(key // len(self.x), return_inverse=True)
+            far[layer][rows], self.links[layer][rows] = _merged(far[layer][rows], self.links[layer][rows], row, (key % len(self.x)).astype(np.int32), dist[once])
+        if top.max() > highest:
+            self.entry = lo + int(top.argmax())
+
+    def knn(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, point, squared distance) of the k nearest that are found, query by query, best first."""
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for lo in range(0, len(q) if self.entry >= 0 else 0, self.walks):
+            own = q[lo : lo + self.walks]
+            table, at = self._table(own, len(self.x)), np.full(len(own), self.entry)
+            for layer in range(int(self.level[self.entry]), 0, -1):
+                at = self._walk(table.copy(), at, 1, layer)[1][:, 0]
+            found = self._walk(table, at, max(k, self.ef), 0)[1][:, :k]
+            row, rank = np.nonzero(found >= 0)
+            ids = found[row, rank]
+            exact = ((self.x[ids] - own[row]) ** 2).sum(axis=1)  # products are good to some 1e-8 of a distance
+            order = np.lexsort((exact, row))
+            out.append((lo + row[order], ids[order], exact[order]))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 @dataclass
@@ -533,11 +569,13 @@ class Graph(Stored):
         m, ef = self.m, max(self.ef_construction, self.ef_search)
 
         def run(t: pa.Table) -> pa.Table:
-            x = np.array(t["vec"].to_pylist(), float)
+            ids = np.asarray(t["id"], np.int64)
+            order = np.argsort(ids)[np.random.default_rng(11).permutation(len(ids))]  # copies that follow one another would be islands
+            ids, x = ids[order], join.vectors(t["vec"])[order]
             if books is not None:
                 code = _encode(x, books)
                 x = np.concatenate([b[code[:, j]] for j, b in enumerate(books)], axis=1)
-            return pa.table({"part": t["part"][:1], "graph": pa.array([pickle.dumps((np.asarray(t["id"], np.int64), _Graph(x, m, ef)))], pa.binary())})
+            return pa.table({"part": t["part"][:1], "graph": pa.array([pickle.dumps((ids, _Graph(x, m, ef)))], pa.binary())})
 
         part = F.expr(f"cast(pmod(xxhash64(id), {self.parts}) AS int)").alias("part")
         self.data = data.select(part, F.col("id").cast("long"), "vec").groupBy("part").applyInArrow(run, "part int, graph binary")
@@ -555,8 +593,8 @@ class Graph(Stored):
             for b in batches:
                 for blob in b.column("graph"):
                     ids, graph = pickle.loads(blob.as_buffer())
-                    found = graph.knn(x, size)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[j]) for _, j in found], pa.int64()), pa.array([float(np.sqrt(d)) for d, _ in found], pa.float64())], names=["id", "score"])
+                    _, found, far = graph.knn(x[None, :], size)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(np.sqrt(far))], names=["id", "score"])
 
         return _top(self.data.mapInArrow(run, "id long, score double"), size)
 
@@ -566,8 +604,8 @@ class Graph(Stored):
 
         def fn(p: pa.Table, q: pa.Table) -> pa.Table:
             ids, graph = pickle.loads(p["graph"][0].as_buffer())
-            found = [(i, int(ids[j]), float(np.sqrt(d))) for i, x in zip(q["qid"].to_pylist(), join.vectors(q["vec"])) for d, j in graph.knn(x, k)]
-            return pa.table({c: pa.array([f[i] for f in found], kind) for i, (c, kind) in enumerate((("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())))})
+            row, found, far = graph.knn(join.vectors(q["vec"]), k)
+            return pa.table({"qid": pa.array(np.asarray(q["qid"], np.int64)[row]), "id": pa.array(ids[found]), "score": pa.array(np.sqrt(far))})
 
         graphs = data.select(F.col("part").alias("group"), F.col("part").alias("id"), "graph")
         asked = as_queries(data, queries, self.metric).select("qid", "vec", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("group"))
