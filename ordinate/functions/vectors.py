@@ -70,7 +70,7 @@ def normalize(vec: Column, policy: str = "floor") -> Column:
     """Unit vectors. Zero vectors: "one" leaves them as they are, "floor" divides by at least 1e-10."""
     n = norm(vec)
     by = F.when(n == 0, F.lit(1.0)).otherwise(n) if policy == "one" else F.greatest(n, F.lit(EPS_NORM))
-    return F.transform(vec, lambda x: x / by)
+    return F.zip_with(vec, F.array_repeat(by, F.size(vec)), lambda x, n: x / n)  # in a lambda the norm would be found anew for each component
 
 
 def lift(vec: Column) -> Column:

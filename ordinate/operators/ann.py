@@ -247,11 +247,20 @@ class IVF(Stored):
         return _in_lists(points, asked, join.nearest_in(_metric(self.metric), k), k, self.nprobe)
 
 
-def _codebooks(x: np.ndarray, m: int, nbits: int) -> np.ndarray:
-    """(m, codes, width)"""
+def _codebooks(spark, x: np.ndarray, m: int, nbits: int) -> np.ndarray:
+    """(m, codes, width), each block's trained in a task of its own."""
     width = x.shape[1] // m
     k = min(1 << nbits, len(x))
-    return np.stack([balls.lloyd(x[:, j * width : (j + 1) * width], k, seed=j) for j in range(m)])
+    shared = spark.sparkContext.broadcast(x)  # a bounded sample
+
+    def run(batches):
+        for b in batches:
+            for j in b.column(0).to_pylist():
+                book = balls.lloyd(shared.value[:, j * width : (j + 1) * width], k, seed=j)
+                yield pa.RecordBatch.from_arrays([pa.array([j]), pa.array([book.tobytes()], pa.binary())], names=["block", "book"])
+
+    books = spark.range(0, m, 1, m).mapInArrow(run, "block long, book binary").orderBy("block").collect()
+    return np.stack([np.frombuffer(r["book"]).reshape(k, width) for r in books])
 
 
 def _encode(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -315,7 +324,7 @@ class PQ(Stored):
         if self.passes and self.nlist > 1:
             rest = data.filter(~F.col("id").isin([r["id"] for r in drawn[train:]])) if drawn[train:] else data
             self.centers = kmeans.refined(rest, self.centers, self.passes)[0]
-        self.books = _codebooks(x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
+        self.books = _codebooks(points.sparkSession, x - self.centers[balls.nearest(x, self.centers)], self.m, self.nbits)
         self.codes = _coded(balls.assign(data, self.centers), self.books, self.centers)
         if path:
             self.codes = keep.clustered(self.codes, "ball_id", "id", n, f"{path}/rows")
@@ -565,7 +574,7 @@ class Graph(Stored):
         if self.pq_m:
             x = np.array([r["vec"] for r in sampling.sample(data, balls.TRAIN_ROWS).select("vec").collect()], float)
             self.pq_m = fitting_blocks(x.shape[1], self.pq_m)
-            books = _codebooks(x, self.pq_m, max(1, min(self.pq_nbits, int(np.log2(max(2, len(x)))))))
+            books = _codebooks(points.sparkSession, x, self.pq_m, max(1, min(self.pq_nbits, int(np.log2(max(2, len(x)))))))
         m, ef = self.m, max(self.ef_construction, self.ef_search)
 
         def run(t: pa.Table) -> pa.Table:

@@ -22,6 +22,8 @@ from ordinate.operators import balls, keep, rank
 
 #: Points of a group that a task holds, query rows that meet them at once, and the most groups (their bounds are broadcast).
 POINTS, QUERIES, MOST_GROUPS = 16_384, 8_192, 100_000
+#: An index's points are stored by tasks of POINTS rows, so that small tables have several; more rows a task beyond this many.
+TASKS = 1024
 
 
 def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -133,7 +135,7 @@ class PivotIndex:
 
         step = max(rows, -(-n // MOST_GROUPS))
         placed_rows = data.mapInArrow(placed, "id long, vec array<double>, cell int, far double")
-        table = rank.numbered(placed_rows, ["cell", "far", "id"], -(-n // keep.FILE_ROWS), path).withColumn("group", F.expr(f"cast(ord div {step} AS int)"))
+        table = rank.numbered(placed_rows, ["cell", "far", "id"], min(-(-n // POINTS), max(TASKS, -(-n // keep.FILE_ROWS))), path).withColumn("group", F.expr(f"cast(ord div {step} AS int)"))
         rings = table.groupBy("group", "cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).orderBy("group", "cell")
         pieces = np.array([tuple(r) for r in rings.collect()], float).reshape(-1, 4)  # at most MOST_GROUPS + MOST_BALLS rows
         return cls(table, centers, pieces, metric)
